@@ -111,13 +111,14 @@ def by_hash(spark: SparkSession, id_column: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(k)).cast("long") for k in keys]), (F.pmod(F.xxhash64(id_column), F.lit(n)) + 1).cast("int")) if n <= 1000 else F.pmod(F.xxhash64(id_column), F.lit(n))
 
 
-def send(block: int, hashes: np.ndarray, owners: int, keys: np.ndarray, bits: int = BITS) -> pa.Table:
-    """A block's message to each owner; hashes are sorted, distinct and of `bits` bits."""
+def send(block: int, hashes: np.ndarray, owners: int, keys: np.ndarray, bits: int = BITS, counts: np.ndarray | None = None) -> pa.Table:
+    """A block's message to each owner; hashes are sorted, distinct and of `bits` bits. With counts, one for each hash, these follow the codes."""
     edges = ((np.arange(owners + 1, dtype=object) * (1 << bits)) // owners >> ALIGN) << ALIGN
     cut = np.searchsorted(hashes, np.array([min(int(e), (1 << bits) - 1) for e in edges[:-1]], dtype=U))
     cut = np.append(cut, len(hashes))
-    rows = [(block, int(keys[i]), int(b - a), rice_encode(hashes[a:b] - U(int(edges[i])), int(edges[i + 1] - edges[i]))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-    return pa.table(list(map(list, zip(*rows, strict=True))) if rows else [[], [], [], []], schema=pa.schema([("block", pa.int64()), ("owner", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())]))
+    rows = [(block, int(keys[i]), int(b - a), rice_encode(hashes[a:b] - U(int(edges[i])), int(edges[i + 1] - edges[i])), *([pack_counts(counts[a:b])] if counts is not None else [])) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    fields = [("block", pa.int64()), ("owner", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())] + ([("counts", pa.binary())] if counts is not None else [])
+    return pa.table(list(map(list, zip(*rows, strict=True))) if rows else [[]] * len(fields), schema=pa.schema(fields))
 
 
 def judge(sent: DataFrame, keys: np.ndarray, rule: Callable[[list[np.ndarray]], list[list[np.ndarray]]]) -> DataFrame:
@@ -157,6 +158,20 @@ def _split(flag: np.ndarray, arrays: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(flag, np.cumsum([len(a) for a in arrays])[:-1])
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts, a byte each if under 255."""
+    x = x.astype(np.int64)
+    large = x[x >= 255]
+    return len(large).to_bytes(8, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
+
+
+def unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    many = int.from_bytes(packed[:8], "little")
+    x = np.frombuffer(packed, np.uint8, n, 8).astype(np.int64)
+    x[x == 255] = np.frombuffer(packed, "<i8", many, 8 + n)
+    return x
+
+
 def elsewhere(arrays: list[np.ndarray]) -> list[list[np.ndarray]]:
     """Rule with one flag: another block has the hash too."""
     every, order, ordered = _flat(arrays)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.llm.decontaminate import contamination
 from gneiss.llm.exact_dedup import exact_groups
+from gneiss.llm.kneser_ney import perplexity
 from gneiss.llm.licenses import license_scan
+from gneiss.llm.minhash import near_groups
 from gneiss.llm.mixing import mix
 from gneiss.llm.substring_dedup import repeated_words
 from gneiss.llm.suffix_dedup import earlier_bytes
+from gneiss.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def checksum(number: Column) -> Column:
+    """CRC-32 of a number's decimal digits."""
+    return F.crc32(number.cast("string").cast("binary"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = checksum(F.col("doc_id")) % 5 == 0
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=~held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = earlier_bytes(table(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,19 +47,35 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity(table(spark, sf_dir, "documents"), usable=checksum(F.col("doc_id")) % 7 != 2)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_source_mix": op10_source_mix,
 }
 ORACLES: dict[str, str] = {}
