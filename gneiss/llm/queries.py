@@ -13,6 +13,7 @@ from gneiss.llm.kneser_ney import perplexity
 from gneiss.llm.licenses import license_scan
 from gneiss.llm.minhash import near_groups
 from gneiss.llm.mixing import mix
+from gneiss.llm.pii import pseudonymised
 from gneiss.llm.substring_dedup import repeated_words
 from gneiss.llm.suffix_dedup import earlier_bytes
 from gneiss.llm.toxicity import toxicity
@@ -27,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents"), key="a key of the caller's")
+
+
 def checksum(number: Column) -> Column:
     """CRC-32 of a number's decimal digits."""
     return F.crc32(number.cast("string").cast("binary"))
@@ -69,6 +74,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_toxicity": op3_toxicity,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_exact_dedup": op5_exact_dedup,
