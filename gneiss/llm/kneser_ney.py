@@ -247,12 +247,15 @@ def perplexity(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col
             return pa.table([[]] * len(_SCORED), schema=_SCORED)
         table = table.combine_chunks()
         level = answers["level"].to_numpy()
-        of = lambda k: answers.filter(pa.array(level == k)).drop_columns(["level"])
+        of = lambda k: answers.filter(pa.array(level == k)).drop_columns(["level", "totals"])
         sums = [np.concatenate([np.empty(0, np.int64)] + [ex.unpack_counts(r["values"], r["n"]) for r in _sorted_rows(of(k), keys)]) for k in (1, 3)]
         pair_total, _, contexts = pair_values(of(2))
-        totals = answers["totals"][0].as_py()
+        totals = answers.filter(pa.array(level == 0))["totals"][0].as_py()
         word_sizes, pair_sizes, ends_sizes = (totals[k] for k in ("words", "pairs", "ends"))
-        own_words, own_pairs = np.unique(np.concatenate([np.unique(t.words()) for _, _, t in tokens(table)])), np.unique(np.concatenate([np.unique(t.pairs(hot)) for _, _, t in tokens(table)]))
+        # Each piece's distinct pairs, a place of each, and each token's number among them.
+        kinds_of = [(a, b, t, *np.unique(t.pairs(hot), return_index=True, return_inverse=True)) for a, b, t in tokens(table)]
+        own_words = np.unique(np.concatenate([t.words()[at] for _, _, t, _, at, _ in kinds_of]))
+        own_pairs = np.unique(np.concatenate([pair for *_, pair, _, _ in kinds_of]))
         words, pairs = Slice(own_words, np.stack(sums)), Slice(own_pairs, pair_total[None, :])
         own_contexts = np.unique(own_pairs >> SHIFT)
         if hot:
@@ -270,18 +273,17 @@ def perplexity(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col
         seen = np.array([ends_sizes[2], ends_sizes[3], ends_sizes[1] - ends_sizes[2] - ends_sizes[3]])
         rest = float(seen @ e[1:]) / many if many else 1.0
         n_tokens, n_known, base, score = [], [], [], []
-        for a, b, t in tokens(table):
-            c, k = words.of(t.words())
-            pair = t.pairs(hot)
+        for a, b, t, pair, at, number in kinds_of:
+            c, k = words.of(t.words()[at])
             (both,), (after, n1, n2, n3) = pairs.of(pair), contexts.of(pair >> SHIFT)
             lower = (np.maximum(k - e[np.minimum(k, 3)], 0) / many if many else 0.0) + rest / (kinds + 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = np.where(after > 0, np.maximum(both - d[np.minimum(both, 3)], 0) / after + (d[1] * n1 + d[2] * n2 + d[3] * n3) / after * lower, lower)
             of_doc = lambda x: np.bincount(t.doc, weights=x, minlength=b - a)  # noqa: B023, E731
             n_tokens.append(of_doc(None))
-            n_known.append(of_doc(c > 0))
-            base.append(of_doc(np.log10(c + 1.0) - np.log10(float(total + kinds + 1))))
-            score.append(of_doc(np.log10(p)))
+            n_known.append(of_doc((c > 0)[number]))
+            base.append(of_doc((np.log10(c + 1.0) - np.log10(float(total + kinds + 1)))[number]))
+            score.append(of_doc(np.log10(p)[number]))
         columns = [table["id"], pa.array([not x for x in table["train"].to_pylist()]), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (n_tokens, n_known)), pa.array([total] * table.num_rows, pa.int64()), *(pa.array(np.concatenate(x)) for x in (base, score))]
         return pa.table(columns, schema=_SCORED)
 
@@ -293,11 +295,12 @@ def perplexity(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col
     sent_ends = blocks.groupBy("block").cogroup(pairs.select("block", "owner", "n", "values", "extra").groupBy("block")).applyInArrow(continuations, started)
     ends = sent_ends.groupBy("owner").applyInArrow(_words_answer, ANSWER)
     every = words.withColumn("level", F.lit(1)).unionByName(pairs.withColumn("level", F.lit(2))).unionByName(ends.withColumn("level", F.lit(3)))
-    # Sums over the owners' shares: a bounded row, as a subquery.
+    # Sums over the owners' shares, of which each block gets a row.
     size = lambda level, i: F.coalesce(F.sum(F.when(F.col("level") == level, F.element_at("sizes", i + 1))), F.lit(0)).cast("long")
     sizes = lambda level: F.array(*[size(level, i) for i in range(6)])
     totals = every.where("sizes is not null").agg(F.struct(sizes(1).alias("words"), sizes(2).alias("pairs"), sizes(3).alias("ends"), F.flatten(F.collect_list("hot")).alias("hot")).alias("totals"))
-    answers = every.select("block", "owner", "n", "values", "extra", "level").withColumn("totals", totals.scalar())
+    totals = totals.select(F.explode(F.array(*[F.lit(int(k)).cast("long") for k in keys])).alias("block"), F.lit(0).alias("level"), "totals")
+    answers = every.select("block", "owner", "n", "values", "extra", "level").unionByName(totals, allowMissingColumns=True)
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)
 

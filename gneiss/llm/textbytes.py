@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 #: Texts are hashed in pieces of about so many bytes, which bounds a worker's memory; one longer text makes a longer piece.
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 _powers: dict[str, np.ndarray] = {}
 
