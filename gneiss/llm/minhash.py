@@ -3,8 +3,9 @@
 One pass over the texts makes each document's distinct word shingles, and of them a key of the whole set, band keys of
 full minima, and a packed signature of the low bits of the minima. Documents with equal sets become one. Within a band
 bucket, sets are first paired with the bucket's smallest only. The signatures' equal bits, corrected for chance
-collisions, estimate the similarity and drop pairs that are far below the threshold; the others are confirmed on full
-sets. Then only buckets whose sets are not yet all connected are looked at again, for pairs between components.
+collisions, estimate the similarity and drop pairs that are far below the threshold; bitmaps of the sets bound it from
+above and drop most others; what is left is confirmed on full sets. Then only buckets whose sets are not yet all
+connected are looked at again, for pairs between components.
 """
 
 from __future__ import annotations
@@ -56,7 +57,29 @@ def signatures(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
+def bitmaps(hashes: np.ndarray, limits: np.ndarray) -> list[bytes]:
+    """Of each set, which of 2**k places its hashes fall on, with 4 to 8 places an element, 256 at least."""
+    out = []
+    for a, b in zip(limits[:-1], limits[1:], strict=True):
+        places = 1 << max(8, int(4 * (b - a) - 1).bit_length())
+        bits = np.zeros(places, np.uint8)
+        bits[hashes[a:b] & U(places - 1)] = 1
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps, the last axis, on fewer places."""
+    return np.bitwise_or.reduce(bitmap.reshape(*bitmap.shape[:-1], -1, size), axis=-2)
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float) -> np.ndarray:
+    """False only for sets below the threshold: a place that one set alone has stands for an element of it that the other lacks."""
+    most = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
+    return most >= threshold * (nx + ny - most) - 1e-9
+
+
+SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, bitmap binary"
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
@@ -83,7 +106,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(full)))
                 lists = pa.ListArray.from_arrays(pa.array(at * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
                 rows = [packed[i].tobytes() if f else None for i, f in zip(at[:-1], full, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], pa.array(size, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), lists, pa.array(rows, pa.binary())], names=["id", "n_shingles", "set_a", "set_b", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], pa.array(size, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), lists, pa.array(rows, pa.binary()), pa.array(bitmaps(hashes, limits), pa.binary())], names=["id", "n_shingles", "set_a", "set_b", "bands", "signature", "bitmap"])
 
     return docs.mapInArrow(kernel, SIGNED)
 
@@ -108,19 +131,26 @@ def _packed(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
 
 
 def likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose estimate does not rule the threshold out, by size either."""
-    own = signed.select("id", "n_shingles", "signature")
-    sides = pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b")
+    """Pairs (a, b) that neither sizes, estimate nor bitmaps rule out."""
+    own = signed.select("id", "n_shingles", "signature", "bitmap")
+    sides = pairs.join(own.toDF("a", "na", "sa", "ba"), "a").join(own.toDF("b", "nb", "sb", "bb"), "b")
     sides = sides.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     least = floor_of(threshold)
 
     def kernel(batches):
         for batch in batches:
             n = batch.num_rows
-            good = agreement(_packed(batch.column("sa"), n), _packed(batch.column("sb"), n)) >= least if n else []
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = np.flatnonzero(agreement(_packed(batch.column("sa"), n), _packed(batch.column("sb"), n)) >= least) if n else np.empty(0, np.int64)
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            keep = []
+            for i in good:
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint8) for c in ("ba", "bb"))
+                size = min(len(x), len(y))
+                if may_reach(folded(x, size), folded(y, size), na[i], nb[i], threshold):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return sides.select("a", "b", "sa", "sb").mapInArrow(kernel, "a long, b long")
+    return sides.mapInArrow(kernel, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -153,7 +183,7 @@ def between(members: DataFrame, threshold: float) -> DataFrame:
     """Likely pairs of sets in one bucket but different components; members: band, key, id, component, n_shingles, signature, and the bucket's number of sets. Large buckets are compared tile by tile."""
     tiled = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    dealt = tiled.select("band", "key", "id", "component", "n_shingles", "signature", "tile", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    dealt = tiled.select("band", "key", "id", "component", "n_shingles", "signature", "bitmap", "tile", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
     least = floor_of(threshold)
 
     def kernel(table: pa.Table) -> pa.Table:
@@ -161,12 +191,21 @@ def between(members: DataFrame, threshold: float) -> DataFrame:
         n = table.num_rows
         ids, of, size = (table[c].to_numpy() for c in ("id", "component", "n_shingles"))
         packed = _packed(table["signature"], n)
+        maps = [np.frombuffer(x, np.uint8) for x in table["bitmap"].to_pylist()]
+        width = np.array([len(x) for x in maps])
+        # Sets that can reach the threshold differ in width by one step at most.
+        level = {w: np.stack([folded(x, w) if w <= len(x) <= 2 * w else np.zeros(w, np.uint8) for x in maps]) for w in np.unique(width)}
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in range(n - 1):
             rest = np.arange(i + 1, n)
             rest = rest[(of[rest] != of[i]) & (np.minimum(size[rest], size[i]) >= threshold * np.maximum(size[rest], size[i]) - 1e-9)]
             if len(rest):
                 rest = rest[agreement(packed[i], packed[rest]) >= least]
+                good = [np.empty(0, np.int64)]
+                for w in np.unique(np.minimum(width[rest], width[i])):
+                    own = rest[np.minimum(width[rest], width[i]) == w]
+                    good.append(own[may_reach(level[w][i], level[w][own], size[i], size[own], threshold)])
+                rest = np.concatenate(good)
                 left.append(np.full(len(rest), ids[i]))
                 right.append(ids[rest])
         x, y = np.concatenate(left), np.concatenate(right)
@@ -192,7 +231,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Documents with equal sets: the smallest id stands for all.
     sets = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("set_id"))
     owned = written(full.select("id", "set_a", "set_b", "n_shingles").join(sets, ["set_a", "set_b", "n_shingles"]).select("id", "n_shingles", "set_id"), "sets")
-    own = written(full.join(sets, ["set_a", "set_b", "n_shingles"]).where("id = set_id").select("id", "n_shingles", "bands", "signature").dropDuplicates(["id", "n_shingles"]), "own")
+    own = written(full.join(sets, ["set_a", "set_b", "n_shingles"]).where("id = set_id").select("id", "n_shingles", "bands", "signature", "bitmap").dropDuplicates(["id", "n_shingles"]), "own")
     buckets = own.select("id", F.posexplode("bands").alias("band", "key"))
     firsts = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     firsts = written(firsts, "buckets")
@@ -206,11 +245,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.unionByName(shared)
     found = written(components(links), "components")
     # Buckets whose sets are in more than one component.
-    labelled = own.select("id", "n_shingles", "signature", "bands").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = own.select("id", "n_shingles", "signature", "bitmap", "bands").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     places = labelled.select("id", "component", F.posexplode("bands").alias("band", "key")).join(firsts.select("band", "key", "size"), ["band", "key"])
     mixed = places.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where("x <> y")
     mixed = mixed.where("size > 2").select("band", "key", "size")
-    members = labelled.select("id", "component", "n_shingles", "signature", F.posexplode("bands").alias("band", "key")).join(mixed, ["band", "key"])
+    members = labelled.select("id", "component", "n_shingles", "signature", "bitmap", F.posexplode("bands").alias("band", "key")).join(mixed, ["band", "key"])
     more = between(members, threshold).join(tried, ["a", "b"], "left_anti")
     links = written(links.unionByName(confirmed(more, texts, shingle, percent).distinct()), "confirmed")
     found = components(links)
