@@ -245,11 +245,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.unionByName(shared)
     found = written(components(links), "components")
     # Buckets whose sets are in more than one component.
-    labelled = own.select("id", "n_shingles", "signature", "bitmap", "bands").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = own.select("id", "bands").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     places = labelled.select("id", "component", F.posexplode("bands").alias("band", "key")).join(firsts.select("band", "key", "size"), ["band", "key"])
-    mixed = places.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where("x <> y")
-    mixed = mixed.where("size > 2").select("band", "key", "size")
-    members = labelled.select("id", "component", "n_shingles", "signature", "bitmap", F.posexplode("bands").alias("band", "key")).join(mixed, ["band", "key"])
+    mixed = places.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where("x <> y and size > 2")
+    # Only members of such buckets are joined with their signatures.
+    members = written(places.select("id", "component", "band", "key").join(mixed.select("band", "key", "size"), ["band", "key"]), "members")
+    members = members.join(own.select("id", "n_shingles", "signature", "bitmap"), "id")
     more = between(members, threshold).join(tried, ["a", "b"], "left_anti")
     links = written(links.unionByName(confirmed(more, texts, shingle, percent).distinct()), "confirmed")
     found = components(links)
