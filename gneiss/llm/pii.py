@@ -165,7 +165,8 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.withColumn("entities", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), 0)))
     has = F.coalesce(F.size("entities") > 0, F.lit(False))
-    some = found.where(has)
+    # The texts that have entities are written, so that the pattern goes over the corpus once for them and once for the rest.
+    some = written(found.where(has), "with-entities")
     writings = some.select(F.explode("entities").alias("entity")).distinct().withColumn("type", kind(F.col("entity")))
     writings = writings.withColumn("own", canonical(F.col("entity"), F.col("type"))).withColumn("sex", F.when(F.col("type") == "name", gender(F.col("entity"))).otherwise("n"))
     writings = written(writings, "writings")
