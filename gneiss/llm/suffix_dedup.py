@@ -129,10 +129,14 @@ class Shard:
         np.minimum.at(first, place, rank)
         self.known = known[place] | (rank > first[place])
         rest = (varied | _varied(distinct))[place] & ~self.known
-        self.starts, ends = s.first[rest], s.end[rest]
-        text, at = tb.gather(self.data, self.starts, ends + self.window - 1)
-        valid = _ranges(at[:-1], at[:-1] + ends - self.starts)
-        self.places = _ranges(self.starts, ends)
+        self.places = _ranges(s.first[rest], s.end[rest])
+        rank = np.repeat(rank[rest], s.end[rest] - s.first[rest])
+        # Segments side by side are one stretch of text.
+        starts, ends = s.first[rest], s.end[rest]
+        new = np.append(True, starts[1:] != ends[:-1]) if len(starts) else np.empty(0, bool)
+        starts, ends = starts[new], ends[np.append(new[1:], True)] if len(new) else ends
+        text, at = tb.gather(self.data, starts, ends + self.window - 1)
+        valid = _ranges(at[:-1], at[:-1] + ends - starts)
         if not len(valid):
             self.hashes, self.of = np.empty(0, U), np.empty(0, np.int64)
             self.local = np.empty(0, bool)
@@ -142,7 +146,6 @@ class Shard:
         kind = np.empty(len(text), dtype=np.int64)
         kind[order] = kinds
         used, of = np.unique(kind[valid], return_inverse=True)
-        rank = np.repeat(rank[rest], ends - self.starts)
         least = np.full(len(used), LAST)
         np.minimum.at(least, of, rank)
         self.local = rank > least[of]
