@@ -181,9 +181,9 @@ def elsewhere(arrays: list[np.ndarray]) -> list[list[np.ndarray]]:
     return [[f] for f in _split(flag, arrays)]
 
 
-def earlier(arrays: list[np.ndarray]) -> list[list[np.ndarray]]:
+def earlier(arrays: list[np.ndarray], table: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[np.ndarray]]:
     """Rule with one flag: a block of smaller number has the hash. The shards' sorted arrays are merged once, and each is looked up in the merged array by binary search."""
-    merged, first = _merged(arrays)
+    merged, first = table or _merged(arrays)
     return [[first[np.searchsorted(merged, a)] < i] for i, a in enumerate(arrays)]
 
 
@@ -198,11 +198,12 @@ def segment_rule(low_bits: int, by_order: bool) -> Callable[[list[np.ndarray]],
     """Rule with two flags for hashes that end in `low_bits` bits of a text around an anchor, the bits above being the anchor's: the same hash is in another block (or, by order, in an earlier one); and the anchor also occurs in another text."""
 
     def rule(arrays: list[np.ndarray]) -> list[list[np.ndarray]]:
-        merged, _ = _merged(arrays)
+        table = _merged(arrays)
+        merged = table[0]
         anchor = merged >> U(low_bits)
         same = anchor[1:] == anchor[:-1]
         varied = (np.append(same, False) | np.append(False, same)) if len(merged) else np.empty(0, bool)
-        known = earlier(arrays) if by_order else elsewhere(arrays)
+        known = earlier(arrays, table) if by_order else elsewhere(arrays)
         return [[k[0], varied[np.searchsorted(merged, a)]] for k, a in zip(known, arrays, strict=True)]
 
     return rule

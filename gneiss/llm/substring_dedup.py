@@ -55,7 +55,8 @@ def segments(sums: np.ndarray, limits: np.ndarray, width: int, part: int) -> Seg
     first = at[new]
     end = at[np.append(new[1:], len(at)) - 1] + 1 if len(at) else first
     whole = tb.span(sums, first, end + width - 1) ^ tb.mix((anchors[new] - first).astype(U) * U(0x9E3779B97F4A7C15) + (end - first).astype(U))
-    key = ((grams[anchors[new]] >> U(64 - (ex.BITS - LOW))) << U(LOW)) | (tb.mix(whole) >> U(64 - LOW))
+    # An anchor is the least of its surroundings; mixed again, its hash is spread evenly over the owners.
+    key = ((tb.mix(grams[anchors[new]]) >> U(64 - (ex.BITS - LOW))) << U(LOW)) | (tb.mix(whole) >> U(64 - LOW))
     return Segments(key, docs[new], first, end)
 
 
