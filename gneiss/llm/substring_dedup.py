@@ -42,10 +42,11 @@ def segments(sums: np.ndarray, limits: np.ndarray, width: int, part: int) -> Seg
     if n <= 0:
         none = np.empty(0, np.int64)
         return Segments(np.empty(0, U), none, none, none)
-    grams = tb.rolling(sums, part)
-    ranked = ((grams >> U(28)) << U(28)) | np.arange(len(grams), dtype=U) if len(grams) < 1 << 28 else None
-    if ranked is None:
+    grams = tb.rolling(sums, part, mixed=False)
+    if len(grams) >= 1 << 28:
         raise ValueError("a text may have 2**28 words or bytes at most")
+    ranked = grams & U(~((1 << 28) - 1) & ((1 << 64) - 1))
+    ranked |= np.arange(len(grams), dtype=U)
     anchor = (tb.sliding_min(ranked, spread) & U((1 << 28) - 1)).astype(np.int64)[:n]
     sizes = np.maximum(0, np.diff(limits) - width + 1)
     docs = np.repeat(np.arange(len(sizes)), sizes)
@@ -56,7 +57,7 @@ def segments(sums: np.ndarray, limits: np.ndarray, width: int, part: int) -> Seg
     end = at[np.append(new[1:], len(at)) - 1] + 1 if len(at) else first
     whole = tb.span(sums, first, end + width - 1) ^ tb.mix((anchors[new] - first).astype(U) * U(0x9E3779B97F4A7C15) + (end - first).astype(U))
     # An anchor is the least of its surroundings; mixed again, its hash is spread evenly over the owners.
-    key = ((tb.mix(grams[anchors[new]]) >> U(64 - (ex.BITS - LOW))) << U(LOW)) | (tb.mix(whole) >> U(64 - LOW))
+    key = ((tb.mix(tb.mix(grams[anchors[new]])) >> U(64 - (ex.BITS - LOW))) << U(LOW)) | (tb.mix(whole) >> U(64 - LOW))
     return Segments(key, docs[new], first, end)
 
 

@@ -22,6 +22,8 @@ from gneiss.llm.substring_dedup import LOW, Segments, _local, _ranges, _varied,
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
+#: Bytes that a suffix array is built over, about.
+PART = 1 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,25 +137,28 @@ class Shard:
         starts, ends = s.first[rest], s.end[rest]
         new = np.append(True, starts[1:] != ends[:-1]) if len(starts) else np.empty(0, bool)
         starts, ends = starts[new], ends[np.append(new[1:], True)] if len(new) else ends
+        # Arrays of suffixes are built for parts of bounded size; their distinct strings meet in one sorted array of hashes.
+        cut = np.searchsorted(np.cumsum(ends - starts + self.window - 1), np.arange(PART, (ends - starts + self.window - 1).sum() + PART, PART))
+        found = [self.strings(starts[i:j], ends[i:j]) for i, j in zip(np.append(0, cut[:-1]), cut, strict=True) if j > i] + ([self.strings(starts[cut[-1] :], ends[cut[-1] :])] if len(cut) and cut[-1] < len(starts) else [])
+        hashed = np.concatenate([h for h, _ in found] or [np.empty(0, U)])
+        at = np.cumsum([0] + [len(h) for h, _ in found])
+        of = np.concatenate([o + i for (_, o), i in zip(found, at, strict=False)] or [np.empty(0, np.int64)])
+        self.hashes, back = np.unique(hashed, return_inverse=True)
+        self.of = back[of]
+        least = np.full(len(self.hashes), LAST)
+        np.minimum.at(least, self.of, rank)
+        self.local = rank > least[self.of]
+
+    def strings(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each distinct window of some stretches, and each window's number among them."""
         text, at = tb.gather(self.data, starts, ends + self.window - 1)
         valid = _ranges(at[:-1], at[:-1] + ends - starts)
-        if not len(valid):
-            self.hashes, self.of = np.empty(0, U), np.empty(0, np.int64)
-            self.local = np.empty(0, bool)
-            return
         order, _ = suffix_array(text, self.window)
-        kinds = np.cumsum(common_prefixes(text, order, self.window) < self.window)
-        kind = np.empty(len(text), dtype=np.int64)
-        kind[order] = kinds
-        used, of = np.unique(kind[valid], return_inverse=True)
-        least = np.full(len(used), LAST)
-        np.minimum.at(least, of, rank)
-        self.local = rank > least[of]
-        one = np.empty(len(used), dtype=np.int64)
-        one[of] = valid
-        hashed = tb.span(tb.prefix(tb.byte_values(text)), one, one + self.window) >> U(64 - ex.BITS)
-        self.hashes, back = np.unique(hashed, return_inverse=True)
-        self.of = back[of]
+        kind = np.empty(len(text), dtype=np.int32)
+        kind[order] = np.cumsum(common_prefixes(text, order, self.window) < self.window)
+        used, one, of = np.unique(kind[valid], return_index=True, return_inverse=True)
+        one = valid[one]
+        return tb.span(tb.prefix(tb.byte_values(text)), one, one + self.window) >> U(64 - ex.BITS), of
 
 
 SCHEMA = "id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"

@@ -53,13 +53,15 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start])
 
 
-def rolling(sums: np.ndarray, width: int) -> np.ndarray:
-    """span() of every range of one width."""
+def rolling(sums: np.ndarray, width: int, mixed: bool = True) -> np.ndarray:
+    """span() of every range of one width; if not mixed, before its finaliser."""
     n = len(sums) - width
     if n <= 0:
         return np.empty(0, dtype=U)
     _, down = _power(len(sums))
-    return mix((sums[width:] - sums[:n]) * down[:n])
+    out = sums[width:] - sums[:n]
+    out *= down[:n]
+    return mix(out) if mixed else out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
