@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gneiss.llm import textbytes as tb
 
 #: Documents that labels are learned from, at most.
-SAMPLE = 5000
+SAMPLE = 3000
 TERMS = 120
 WINDOW = 8
 QUOTES = "\"'«»‘’“”„‚‹›"
