@@ -5,7 +5,8 @@ full minima, and a packed signature of the low bits of the minima. Documents wit
 bucket, sets are first paired with the bucket's smallest only. The signatures' equal bits, corrected for chance
 collisions, estimate the similarity and drop pairs that are far below the threshold; bitmaps of the sets bound it from
 above and drop most others; what is left is confirmed on full sets. Then only buckets whose sets are not yet all
-connected are looked at again, for pairs between components.
+connected are looked at again: first for the likeliest pairs that would connect their components, as many as there are
+components less one, and last for every pair between the components that are left.
 """
 
 from __future__ import annotations
@@ -73,10 +74,10 @@ def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(bitmap.reshape(*bitmap.shape[:-1], -1, size), axis=-2)
 
 
-def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float) -> np.ndarray:
-    """False only for sets below the threshold: a place that one set alone has stands for an element of it that the other lacks."""
+def at_most(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Bound of the similarity from above: a place that one set alone has stands for an element of it that the other lacks."""
     most = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
-    return most >= threshold * (nx + ny - most) - 1e-9
+    return most / (nx + ny - most)
 
 
 SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, bitmap binary"
@@ -146,7 +147,7 @@ def likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
             for i in good:
                 x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint8) for c in ("ba", "bb"))
                 size = min(len(x), len(y))
-                if may_reach(folded(x, size), folded(y, size), na[i], nb[i], threshold):
+                if at_most(folded(x, size), folded(y, size), na[i], nb[i]) >= threshold - 1e-9:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -179,8 +180,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return members.unionByName(heads).groupBy("a", "part").applyInArrow(kernel, "a long, b long")
 
 
-def between(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of sets in one bucket but different components; members: band, key, id, component, n_shingles, signature, and the bucket's number of sets. Large buckets are compared tile by tile."""
+def _forest(left: np.ndarray, right: np.ndarray, likeliest_first: np.ndarray) -> np.ndarray:
+    """Of pairs of components in this order, those that connect what is not connected yet."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i in likeliest_first:
+        x, y = find(int(left[i])), find(int(right[i]))
+        if x != y:
+            root[x] = y
+            out.append(i)
+    return np.array(out, dtype=np.int64)
+
+
+def between(members: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    """Likely pairs of sets in one bucket but different components, or of them a forest over the components; members: band, key, id, component, n_shingles, signature, and the bucket's number of sets. Large buckets are compared tile by tile."""
     tiled = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     dealt = tiled.select("band", "key", "id", "component", "n_shingles", "signature", "bitmap", "tile", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
@@ -195,20 +215,24 @@ def between(members: DataFrame, threshold: float) -> DataFrame:
         width = np.array([len(x) for x in maps])
         # Sets that can reach the threshold differ in width by one step at most.
         level = {w: np.stack([folded(x, w) if w <= len(x) <= 2 * w else np.zeros(w, np.uint8) for x in maps]) for w in np.unique(width)}
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        left, right, bound = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for i in range(n - 1):
             rest = np.arange(i + 1, n)
             rest = rest[(of[rest] != of[i]) & (np.minimum(size[rest], size[i]) >= threshold * np.maximum(size[rest], size[i]) - 1e-9)]
             if len(rest):
                 rest = rest[agreement(packed[i], packed[rest]) >= least]
-                good = [np.empty(0, np.int64)]
                 for w in np.unique(np.minimum(width[rest], width[i])):
                     own = rest[np.minimum(width[rest], width[i]) == w]
-                    good.append(own[may_reach(level[w][i], level[w][own], size[i], size[own], threshold)])
-                rest = np.concatenate(good)
-                left.append(np.full(len(rest), ids[i]))
-                right.append(ids[rest])
-        x, y = np.concatenate(left), np.concatenate(right)
+                    most = at_most(level[w][i], level[w][own], size[i], size[own])
+                    good = most >= threshold - 1e-9
+                    left.append(np.full(good.sum(), i))
+                    right.append(own[good])
+                    bound.append(most[good])
+        i, j = np.concatenate(left), np.concatenate(right)
+        if forest:
+            kept = _forest(of[i], of[j], np.argsort(-np.concatenate(bound), kind="stable"))
+            i, j = i[kept], j[kept]
+        x, y = ids[i], ids[j]
         return pa.table([np.minimum(x, y), np.maximum(x, y)], names=["a", "b"])
 
     return dealt.groupBy("band", "key", "low", "high").applyInArrow(kernel, "a long, b long").distinct()
@@ -244,16 +268,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = same.join(own.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct()
     links = links.unionByName(shared)
     found = written(components(links), "components")
-    # Buckets whose sets are in more than one component.
-    labelled = own.select("id", "bands").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    places = labelled.select("id", "component", F.posexplode("bands").alias("band", "key")).join(firsts.select("band", "key", "size"), ["band", "key"])
-    mixed = places.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where("x <> y and size > 2")
-    # Only members of such buckets are joined with their signatures.
-    members = written(places.select("id", "component", "band", "key").join(mixed.select("band", "key", "size"), ["band", "key"]), "members")
-    members = members.join(own.select("id", "n_shingles", "signature", "bitmap"), "id")
-    more = between(members, threshold).join(tried, ["a", "b"], "left_anti")
-    links = written(links.unionByName(confirmed(more, texts, shingle, percent).distinct()), "confirmed")
-    found = components(links)
+    for forest in (True, False):
+        # Buckets whose sets are in more than one component.
+        labelled = own.select("id", "bands").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        places = labelled.select("id", "component", F.posexplode("bands").alias("band", "key")).join(firsts.select("band", "key", "size"), ["band", "key"])
+        mixed = places.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where("x <> y and size > 2")
+        # Only members of such buckets are joined with their signatures.
+        members = written(places.select("id", "component", "band", "key").join(mixed.select("band", "key", "size"), ["band", "key"]), "members")
+        members = members.join(own.select("id", "n_shingles", "signature", "bitmap"), "id")
+        more = written(between(members, threshold, forest).join(tried, ["a", "b"], "left_anti"), "more")
+        tried = tried.unionByName(more)
+        links = written(links.unionByName(confirmed(more, texts, shingle, percent).distinct()), "confirmed")
+        found = written(components(links), "components")
     every = signed.select("id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
     every = every.withColumn("set_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("set_id")).otherwise(F.col("id")))
     every = every.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
