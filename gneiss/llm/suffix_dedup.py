@@ -138,8 +138,9 @@ class Shard:
         new = np.append(True, starts[1:] != ends[:-1]) if len(starts) else np.empty(0, bool)
         starts, ends = starts[new], ends[np.append(new[1:], True)] if len(new) else ends
         # Arrays of suffixes are built for parts of bounded size; their distinct strings meet in one sorted array of hashes.
-        cut = np.searchsorted(np.cumsum(ends - starts + self.window - 1), np.arange(PART, (ends - starts + self.window - 1).sum() + PART, PART))
-        found = [self.strings(starts[i:j], ends[i:j]) for i, j in zip(np.append(0, cut[:-1]), cut, strict=True) if j > i] + ([self.strings(starts[cut[-1] :], ends[cut[-1] :])] if len(cut) and cut[-1] < len(starts) else [])
+        part = np.cumsum(ends - starts + self.window - 1) // PART
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(starts)) if len(starts) else np.zeros(1, np.int64)
+        found = [self.strings(starts[i:j], ends[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
         hashed = np.concatenate([h for h, _ in found] or [np.empty(0, U)])
         at = np.cumsum([0] + [len(h) for h, _ in found])
         of = np.concatenate([o + i for (_, o), i in zip(found, at, strict=False)] or [np.empty(0, np.int64)])

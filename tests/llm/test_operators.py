@@ -1,0 +1,267 @@
+"""Every operator against brute force on a small table with nulls, empty and very long texts, ties and repeated rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gneiss.llm import exchange as ex
+from gneiss.llm.decontaminate import contamination
+from gneiss.llm.exact_dedup import drop_exact_copies, exact_groups
+from gneiss.llm.kneser_ney import discounts, perplexity
+from gneiss.llm.licenses import PHRASES, license_scan
+from gneiss.llm.minhash import near_groups
+from gneiss.llm.mixing import mix
+from gneiss.llm.pii import pseudonymised
+from gneiss.llm.substring_dedup import repeated_words
+from gneiss.llm.suffix_dedup import common_prefixes, earlier_bytes, suffix_array
+from gneiss.llm.toxicity import toxicity
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, source string, id long, block string, n long"
+
+
+def corpus():
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" if i % 3 else f"É{i}" for i in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared = prose(60)
+    texts = [prose(rng.randint(1, 150)) for _ in range(40)]
+    texts += [f"{prose(20)}\n{shared}\t{prose(5)}" for _ in range(6)] + [texts[0], texts[0], texts[3].upper()]
+    base = prose(200).split()
+    for _ in range(12):
+        copy = list(base)
+        copy[rng.randrange(200)] = "edit"
+        texts.append(" ".join(copy))
+    texts += [None, "", "  \n ", "one", "a " * 300, prose(30_000), shared, "Released under the MIT License. Licensed under the Apache License, Version 2.0.\nunder the mit license under the mit license"]
+    rows = [(i * 3, t, None if i % 7 == 0 else f"s{i % 3}", i, "x", 1) for i, t in enumerate(texts)]
+    return rows + [rows[0], rows[5]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def test_codes():
+    rng = np.random.default_rng(0)
+    for n, universe in ((0, 9), (1, 5), (5, 7), (3000, 1 << 60), (50_000, 1 << 20)):
+        v = np.unique(rng.integers(0, universe, n, dtype=np.uint64))
+        assert (ex.rice_decode(ex.rice_encode(v, universe), len(v)) == v).all()
+    x = rng.integers(0, 600, 1000)
+    assert (ex.unpack_counts(ex.pack_counts(x), 1000) == x).all()
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for _ in range(15):
+        base = rng.integers(97, 100, 200).astype(np.uint8)
+        t = np.concatenate([base[(a := rng.integers(0, 100)) : a + rng.integers(30, 100)] if rng.random() < 0.5 else rng.integers(97, 100, 50).astype(np.uint8) for _ in range(30)] + [np.full(300, 97, np.uint8)])
+        order, _ = suffix_array(t, 50)
+        b = t.tobytes()
+        keys = [b[i : i + 50] for i in order]
+        assert keys == sorted(keys)
+        for k, n in enumerate(common_prefixes(t, order, 50, stretch=64)[1:], 1):
+            x, y = keys[k], keys[k - 1]
+            assert n == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_substring_dedup(docs, none):
+    own = [words(r[1]) for r in corpus()]
+    seen = Counter(tuple(w[j : j + 35]) for w in own for j in range(len(w) - 34))
+    want = []
+    for r, w in zip(corpus(), own, strict=True):
+        gone = [False] * len(w)
+        for j in range(len(w) - 34):
+            if seen[tuple(w[j : j + 35])] > 1:
+                gone[j : j + 35] = [True] * 35
+        want.append((r[0], len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    assert sorted(tuple(r)[:4] for r in repeated_words(docs).collect()) == sorted(want)
+    assert repeated_words(none).count() == 0
+
+
+def test_suffix_dedup(docs, none):
+    first = {}
+    for r in sorted(corpus(), key=lambda r: r[0]):
+        b = (r[1] or "").encode()
+        for j in range(len(b) - 49):
+            first.setdefault(b[j : j + 50], r[0])
+    want = []
+    for r in corpus():
+        b = (r[1] or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - 49):
+            if first[b[j : j + 50]] < r[0]:
+                gone[j : j + 50] = b"\1" * 50
+        want.append((r[0], len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g), len(re.findall(b"\1+", bytes(gone)))))
+    got = [(r[0], r[1], r[2], bytes(r[3]), len(r[4])) for r in earlier_bytes(docs).collect()]
+    assert sorted(got) == sorted(want)
+    assert earlier_bytes(none).count() == 0
+
+
+def test_exact_dedup(docs, none):
+    groups = defaultdict(list)
+    for r in corpus():
+        groups[r[1] or ""].append(r[0])
+    want = [(r[0], max(g := groups[r[1] or ""]), len(g), r[0] == max(g), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in corpus()]
+    assert sorted(map(tuple, exact_groups(docs).collect())) == sorted(want)
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert exact_groups(none).count() == 0
+
+
+def test_near_dedup(docs, none):
+    sets = defaultdict(list)
+    for r in corpus():
+        w = words((r[1] or "").translate(LOWER))
+        sets[r[0]].append({tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = [(r[0], len(sets[r[0]][0]), find(r[0]), find(r[0]) == r[0]) for r in corpus()]
+    assert sorted(tuple(r)[:4] for r in near_groups(docs, shingle=4).collect()) == sorted(want)
+    assert near_groups(none).count() == 0
+
+
+def test_licenses(docs, none):
+    got = {(r["doc_id"]): r for r in license_scan(docs).collect()}
+    for i, text, *_ in corpus():
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+        places = sorted((j, label) for p, label in PHRASES.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split())
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
+        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+    assert license_scan(none).count() == 0
+
+
+def test_kneser_ney(docs, none):
+    usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    own = [(r[0], ["<s>", *words((r[1] or "").translate(LOWER)), "</s>"], zlib.crc32(str(r[0]).encode()) % 7 != 2) for r in corpus()]
+    c, pairs = Counter(), Counter()
+    for _, s, train in own:
+        if train:
+            c.update(s[1:])
+            pairs.update(zip(s, s[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    after, before = defaultdict(lambda: [0, 0, 0, 0]), Counter()
+    for (x, y), k in pairs.items():
+        after[x][0] += k
+        after[x][min(k, 3)] += 1
+        before[y] += 1
+    of = lambda values: discounts([sum(x == i for x in values) for i in (1, 2, 3, 4)])
+    d, e, many = of(pairs.values()), of(before.values()), sum(before.values())
+    rest = sum(e[min(k, 3)] for k in before.values()) / many
+
+    def p(x, y):
+        low = max(before[y] - e[min(before[y], 3)], 0) / many + rest / (v + 1)
+        if x not in after:
+            return low
+        k, a = pairs[x, y], after[x]
+        return max(k - d[min(k, 3)], 0) / a[0] + sum(d[i] * a[i] for i in (1, 2, 3)) / a[0] * low
+
+    assert sum(p("w1", w) for w in c) + p("w1", "unseen") == pytest.approx(1)
+    want = sorted((i, not t, len(s) - 1, sum(c[w] > 0 for w in s[1:]), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s[1:]), sum(math.log10(p(x, y)) for x, y in zip(s, s[1:], strict=False))) for i, s, t in own)
+    for g, w in zip(sorted(tuple(r)[:7] for r in perplexity(docs, usable).collect()), want, strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+    assert perplexity(none, usable).count() == 0
+
+
+def test_mixing(docs, none):
+    rows = mix(docs).collect()
+    sizes = Counter()
+    for r in corpus():
+        sizes[r[2]] += len(words(r[1]))
+    left, target = 1.5 * sum(sizes.values()), {}
+    weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s)), [5, 2, 1] * 9, strict=False))
+    while True:
+        share = {s: left * w / sum(weights.values()) for s, w in weights.items()}
+        over = [s for s in share if share[s] > 2 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+            del weights[s]
+    source = {r[0]: r[2] for r in corpus()}
+    taken = Counter()
+    for r in rows:
+        assert r["target"] == pytest.approx(target[source[r["doc_id"]]]) and r["source_size"] == sizes[source[r["doc_id"]]] and 0 <= r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 200 for s in sizes)
+    assert sorted(map(tuple, mix(docs.repartition(3)).collect())) == sorted(map(tuple, rows))
+    assert mix(none).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    texts = {r[0]: r[1] for r in corpus()}
+    passage = " ".join(texts[6].split()[:40]) if len(texts[6].split()) >= 40 else texts[6] + " " + texts[9]
+    edited = passage[:30] + "x" + passage[31:]
+    more = spark.createDataFrame([(9001, f"before {passage} after", None, 1, "x", 1), (9002, f"{edited}!", None, 1, "x", 1)], SCHEMA)
+    bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "short")], "item_id long, text string")
+    got = {r["doc_id"] for r in contamination(docs.unionByName(more), bench).where("contaminated").collect()}
+    assert {9001, 9002} <= got <= {9001, 9002, 6}
+    assert contamination(none, bench).count() == 0
+    assert not contamination(docs, bench.limit(0)).where("contaminated").count()
+
+
+def test_pii(spark, none):
+    rows = [(1, "Mail Bob.Smith42@Mail3.example.com or bob.smith42@mail3.example.com, +1 (017) 555-7713, +1 017 555 7713."), (2, "Mrs. Clark paid 4111 1111 1111 1111 from 10.2.3.4"), (3, None), (4, ""), (5, "4111111111111111 and 10.2.3.4 again"), (5, "no entity 3 4.0")]
+    got = sorted(map(tuple, pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()), key=lambda r: (r[0], r[2]))
+    first = got[0][1]
+    mails, phones = re.findall(r"\S+@\S+\.com", first), re.findall(r"\+1 [\d ()-]+", first)
+    assert len(set(mails)) == 1 and "smith" not in first.lower() and "5557713" not in re.sub(r"\D", "", first)
+    assert len({re.sub(r"\D", "", p) for p in phones}) == 1 and first.count("+1 ") == 2
+    assert got[1][1].startswith("Mrs. ") and "Clark" not in got[1][1]
+    cards = [re.sub(r"\D", "", re.search(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", t)[0]) for t in (got[1][1], got[5][1])]
+    digits = [int(x) for x in cards[0][::-1]]
+    assert cards[0] == cards[1] != "4111111111111111" and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(digits)) % 10 == 0
+    assert got[2][1] is None and got[3][1] == "" and got[4][1] == "no entity 3 4.0"
+    assert pseudonymised(none, "k").count() == 0
+
+
+def test_toxicity(spark, none):
+    rng = random.Random(5)
+    clean = [f"w{i}ord" for i in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        text = [rng.choice(clean) for _ in range(60)]
+        bad = i % 6 == 0
+        for w in ("blastard", "grumbler", "snivelly") if bad else ():
+            text[rng.randrange(60)] = w
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    rows += [(1000, "w1ord w2ord blastardd grumblr snively"), (1001, None), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity(docs, known, F.col("doc_id") % 5 != 0).collect()}
+    held = [i for i in range(600) if i % 5 == 0]
+    assert sum(got[i]["predicted"] == labels[i][1] for i in held) >= 0.95 * len(held)
+    assert got[1000]["predicted"] == 1 and got[1001]["predicted"] == 0 and got[1001]["score"] == got[1002]["score"]
+    assert toxicity(none, known, F.lit(True)).count() == 0
