@@ -84,4 +84,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_source_mix": op10_source_mix,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    p AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+    r AS (SELECT doc_id, i FROM p WHERE win IN (SELECT win FROM p GROUP BY win HAVING count(*) > 1)),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
+    e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+    k AS (SELECT e.doc_id, e.j, word, c.j IS NOT NULL AS gone FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.j = c.j),
+    s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS starts FROM k),
+    o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept, count(*) FILTER (starts) AS n_spans FROM s GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INT) AS n_spans FROM w LEFT JOIN o USING (doc_id)""",
+    "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+}
