@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.decontaminate import contamination
 from gneiss.llm.exact_dedup import exact_groups
 from gneiss.llm.kneser_ney import perplexity
-from gneiss.llm.licenses import license_scan
+from gneiss.llm.licenses import LOWER, PHRASES, TEMPLATES, UPPER, license_scan
 from gneiss.llm.minhash import near_groups
 from gneiss.llm.mixing import mix
 from gneiss.llm.pii import pseudonymised
@@ -85,6 +86,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _values(rows: list[tuple]) -> str:
+    """Rows of texts, numbers and lists of words for VALUES."""
+    cell = lambda x: str(x) if isinstance(x, int) else f"[{', '.join(map(cell, x))}]" if isinstance(x, list) else f"'{x}'"
+    return ", ".join(f"({', '.join(map(cell, r))})" for r in rows)
+
+
+_PHRASES = _values([(len(p.split()), p, label) for p, label in PHRASES.items()])
+_TEMPLATES = _values([(label, sorted(set(t.split())), math.ceil(0.8 * len(set(t.split())) - 1e-9)) for t, label in TEMPLATES.items()])
+_LONGEST = max(len(p.split()) for p in PHRASES)
+
+
+def _windows(table: str) -> str:
+    """CTEs b2 to b32 of (doc_id, i, b, and the hex digits of that many bytes from i on), each from the one before."""
+    steps = []
+    for n in (2, 4, 8, 16, 32):
+        last = "b" if n == 2 else f"x{n // 2}"
+        steps.append(f"b{n} AS (SELECT *, {last} || lead({last}, {n // 2}) OVER z AS x{n} FROM {table if n == 2 else f'b{n // 2}'} WINDOW z AS (PARTITION BY doc_id ORDER BY i))")
+    return ", ".join(steps)
+
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
     p AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
@@ -97,4 +122,35 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INT) AS n_spans FROM w LEFT JOIN o USING (doc_id)""",
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op4_suffix_array_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents),
+    y AS (SELECT doc_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM d),
+    {_windows("y")},
+    w AS (SELECT doc_id, i, b, x32 || lead(x16, 32) OVER z || lead(x2, 48) OVER z AS win FROM b32 WINDOW z AS (PARTITION BY doc_id ORDER BY i)),
+    f AS (SELECT win, min(doc_id) AS first FROM w WHERE win IS NOT NULL GROUP BY win),
+    g AS (SELECT doc_id, i, b, coalesce(first < doc_id, false) AS again FROM w LEFT JOIN f USING (win)),
+    c AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) AS gone FROM g),
+    s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM c),
+    o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+    SELECT doc_id, CAST(len(bs) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)""",
+    "op7_license_scan": f"""WITH d AS (SELECT doc_id, {_LOWER} AS text FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(text, {_ALNUM}) AS ws FROM d),
+    e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w),
+    r AS (SELECT doc_id, i, [word{"".join(f", lead(word, {k}) OVER z" for k in range(1, _LONGEST))}] AS run FROM e WINDOW z AS (PARTITION BY doc_id ORDER BY i)),
+    p AS (SELECT doc_id, i, label FROM r JOIN (VALUES {_PHRASES}) AS v(n, phrase, label) ON array_to_string(run[1:n], ' ') = phrase),
+    t(label, ws, least) AS (VALUES {_TEMPLATES}),
+    l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {_ALNUM})) AS ws FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM d)),
+    m AS (SELECT doc_id, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share FROM l JOIN t ON len(list_intersect(l.ws, t.ws)) >= least),
+    b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+    x AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM m) GROUP BY doc_id),
+    h AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score FROM w LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN h USING (doc_id)""",
+    "op8_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS own FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+    c AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT c.doc_id, b FROM c JOIN l ON reached = a),
+    k AS (SELECT doc_id, min(reached) AS component_id FROM c GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept, coalesce(min(n.doc_id) OVER (PARTITION BY own), doc_id) AS set_id FROM w JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
