@@ -41,8 +41,8 @@ PATTERNS = {
     "name": rf"\b(?:(?:{'|'.join(x for own in TITLES.values() for x in own)})\.?\s+{WORD}(?:\s{WORD})?|(?:{'|'.join(x for own in (GIVEN, CYRILLIC_GIVEN) for y in own.values() for x in y)})\s{WORD})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity.
-HINT = r"\d{3}|\d\.\d|@|[0-9a-fA-F]{32}|(?:sk|pk|ghp|gho|xox[bp])[-_]|\b(?:" + "|".join([*(x for own in TITLES.values() for x in own), *(x for own in (GIVEN, CYRILLIC_GIVEN) for y in own.values() for x in y)]) + r")\b"
+#: A text without any of these has no entity: what every match of a pattern, in their order, holds. A phone number that does not start with + holds three digits in a row.
+HINT = r"@|AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}|\d\.\d|\d{3}|\+\d|\d(?:[ -]?\d){12}|\b(?:" + "|".join([*(x for own in TITLES.values() for x in own), *(x for own in (GIVEN, CYRILLIC_GIVEN) for y in own.values() for x in y)]) + r")\.?\s"
 ALPHABETS = {"[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{Lu}": "ÀÂÄÇÈÉÊËÎÏÔÖÙÛÜÑÍÓÚÁ", r"\p{L}": "àâäçèéêëîïôöùûüñíóúá"}
 
 
