@@ -2,8 +2,8 @@
 
 Entities are found by one pattern, and reduced to a canonical form, so that writings of one number share a surrogate.
 Distinct entities are a table. A surrogate is drawn from a keyed hash of the entity and a try; where two entities draw
-the same, or one draws what the corpus really has, all but one draw again, until all are distinct. Texts that have
-entities are joined with their surrogates and put together again; the others are not shuffled. DataFrame functions only.
+the same, or one draws what the corpus really has, all but one draw again, until all are distinct. After some tries
+surrogates get longer with each, so that there are enough for any number of entities. Texts that have entities are joined with their surrogates and put together again; the others are not shuffled. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity: what every match of a pattern, in their order, holds. A phone number that does not start with + holds three digits in a row.
 HINT = r"@|AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}|\d\.\d|\d{3}|\+\d|\d(?:[ -]?\d){12}|\b(?:" + "|".join([*(x for own in TITLES.values() for x in own), *(x for own in (GIVEN, CYRILLIC_GIVEN) for y in own.values() for x in y)]) + r")\.?\s"
+#: Draws in an entity's own format; each later one is a syllable, letter or digit longer than the one before.
+TRIES = 4
 ALPHABETS = {"[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{Lu}": "ÀÂÄÇÈÉÊËÎÏÔÖÙÛÜÑÍÓÚÁ", r"\p{L}": "àâäçèéêëîïôöùûüñíóúá"}
 
 
@@ -97,6 +99,12 @@ def _scrambled(text: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _more(values: list[str], stream: Column, attempt: Column) -> Column:
+    """What a try's surrogate is longer by: one of the values for each try after the first ones, each from a stream of its own."""
+    one = lambda i: _of(values, _number(F.sha2(F.concat_ws("\n", stream, i.cast("string")), 256), 0))
+    return F.when(attempt >= TRIES, F.array_join(F.transform(F.sequence(F.lit(1), attempt - TRIES + 1), one), "")).otherwise("")
+
+
 def _luhn(digits: Column) -> Column:
     """Luhn sum modulo 10 of a string of digits."""
     added = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.pmod(c.cast("int") * 2 - 1, F.lit(9)) + F.when(c == "0", 0).otherwise(1) - F.when(c == "0", 8).otherwise(0)))
@@ -108,34 +116,37 @@ def surrogate(type_: Column, own: Column, sex: Column, key: str, attempt: Column
     stream = F.sha2(F.concat_ws("\n", F.lit(key), type_, own, attempt.cast("string")), 256)
     body = F.regexp_extract(own, r"^(.*@.*)(\.[^.]*)$", 1)
     top = F.regexp_extract(own, r"^(.*@.*)(\.[^.]*)$", 2)
-    email = F.concat(_scrambled(body, stream), top)
+    letters, figures = _more(list(ALPHABETS["[a-z]"]), stream, attempt), _more(list("0123456789"), stream, attempt)
+    email = F.concat(F.replace(_scrambled(body, stream), F.lit("@"), F.concat(letters, F.lit("@"))), top)
     ip = F.array_join(F.array(*[(F.pmod(_number(stream, i * 5), F.lit(222 if i == 0 else 254)) + 1).cast("string") for i in range(4)]), ".")
+    ip = F.concat(ip, F.when(figures != "", F.concat(F.lit("."), figures)).otherwise(""))
     digits = _scrambled(own, stream)
     # A card's last digit keeps its check sum right, or wrong as it was.
     start = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    start = F.concat(F.substring(own, 1, 1), F.substring(start, F.lit(2), F.length(start)))
+    start = F.concat(F.substring(own, 1, 1), F.substring(start, F.lit(2), F.length(start)), figures)
     check = F.pmod(_luhn(own) - _luhn(F.concat(start, F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(start, check)
     # A phone number's country code, of one digit if 1 or 7 and of two at least otherwise, stays.
     code = F.regexp_extract(own, r"^(?:\+(?:[17]|\d\d))?", 0)
-    phone = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)))
-    iban = F.concat(F.substring(own, 1, 2), _scrambled(F.substring(own, F.lit(3), F.length(own)), stream))
+    phone = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)), figures)
+    iban = F.concat(F.substring(own, 1, 2), _scrambled(F.substring(own, F.lit(3), F.length(own)), stream), figures)
     secret = F.when(own.rlike("^[0-9a-f]+$"), F.substring(F.concat(stream, F.sha2(stream, 256)), F.lit(1), F.length(own))).when(own.rlike("^[0-9A-F]+$"), F.upper(F.substring(F.concat(stream, F.sha2(stream, 256)), F.lit(1), F.length(own)))).otherwise(F.concat(F.substring(own, 1, 4), _scrambled(F.substring(own, F.lit(5), F.length(own)), stream)))
+    secret = F.concat(secret, figures)
 
     def name(given: dict[str, list[str]], syllables: list[str]) -> Column:
         first = F.when(sex == "f", _of(given["f"], _number(stream, 0))).when(sex == "m", _of(given["m"], _number(stream, 0))).otherwise(_of(given["n"], _number(stream, 0)))
-        last = F.initcap(F.concat(*[_of(syllables, _number(stream, 6 * i + 5)) for i in range(4)]))
+        last = F.initcap(F.concat(*[_of(syllables, _number(stream, 6 * i + 5)) for i in range(4)], _more(syllables, stream, attempt)))
         return F.when(own.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
 
     names = F.when(own.rlike(r"\p{IsCyrillic}"), name(CYRILLIC_GIVEN, CYRILLIC_SYLLABLES)).otherwise(name(GIVEN, SYLLABLES))
-    return F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "phone", phone).when(type_ == "card", card).when(type_ == "iban", iban).when(type_ == "secret", secret).when(type_ == "name", names).otherwise(digits)
+    return F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "phone", phone).when(type_ == "card", card).when(type_ == "iban", iban).when(type_ == "secret", secret).when(type_ == "name", names).otherwise(F.concat(digits, figures))
 
 
 def rendered(entity: Column, type_: Column, replacement: Column) -> Column:
-    """A canonical surrogate in the format of one writing of its entity."""
+    """A canonical surrogate in the format of one writing of its entity; what it is longer by follows."""
     titles = "|".join(x for own in TITLES.values() for x in own)
     replacement = F.when(type_ == "phone", F.replace(replacement, F.lit("+"), F.lit(""))).otherwise(replacement)
-    spread = F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["out"], F.substring(replacement, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))), lambda a: a["out"])
+    spread = F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["out"], F.substring(replacement, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))), lambda a: F.concat(a["out"], F.substring(replacement, a["i"], F.length(replacement))))
     return F.when(type_.isin("phone", "card", "ssn", "iban"), spread).when(type_ == "name", F.concat(F.regexp_extract(entity, rf"^(?:(?:{titles})\.?\s+)?", 0), replacement)).otherwise(replacement)
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.llm import exchange as ex
+from gneiss.llm import pii
 from gneiss.llm.decontaminate import contamination
 from gneiss.llm.exact_dedup import drop_exact_copies, exact_groups
 from gneiss.llm.kneser_ney import discounts, perplexity
@@ -253,6 +254,17 @@ def test_pii_alone(spark):
         assert r["n_entities"] == 1 and entities[r["doc_id"]] not in r["text"]
 
 
+def test_pii_more_entities_than_short_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", ["ba", "der"])
+    names = [f"Mr {a}{b}o" for a in "ABCDEFGH" for b in "klmnrs"]
+    mails = [f"{a}@{b}.de" for a in range(10) for b in range(10)]
+    phones = [f"+99 {a} {b:02}" for a in range(6) for b in range(100)]
+    got = pseudonymised(spark.createDataFrame([(1, "; ".join([*names, *mails, *phones]))], "doc_id long, text string"), "k").first()
+    new = got["text"].split("; ")
+    assert got["n_entities"] == len(new) == len(set(new)) == 748 and not set(new) & {*names, *mails, *phones}
+    assert all(re.fullmatch(r"Mr [A-Z](a|er)(ba|der){3,}", x) for x in new[:48]) and all(re.fullmatch(r"\d[a-z]*@\d\.de", x) for x in new[48:148]) and all(re.fullmatch(r"\+99 \d \d\d+", x) for x in new[148:])
+
+
 def test_toxicity(spark, none):
     rng = random.Random(5)
     clean = [f"w{i}ord" for i in range(300)]
