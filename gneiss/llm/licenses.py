@@ -1,10 +1,12 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a text) matches a template if it holds at least `threshold` of the template's words, as sets. Words
+A block (a line of a text, or a run of words across lines, as notices are wrapped) matches a template if it holds at least `threshold` of the template's words, as sets. Words
 are ordered by how often the corpus has them, rarest first. A block can only match if it has one of the template's
 prefix, its |T| - overlap + 1 rarest words (prefix filter), if it has at least `overlap` distinct words (length
 filter), and if, counted from the place of the first shared prefix word, the template has enough words left (positional
-filter). Blocks that pass are compared in full. DataFrame functions only.
+filter). Blocks that pass are compared in full. Runs have as many words as the template divided by the threshold, so
+that it makes up that share of them too; those near a prefix word pass the same filters before they are compared one by
+one. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -72,17 +74,32 @@ def candidates(words: Column, templates: list[tuple[str, list[str], int]]) -> Co
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def wrapped(near: Column, templates: list[tuple[str, list[str], int]], widths: list[int]) -> Column:
+    """Like candidates(), of the words near a prefix word: the largest containment in any run of a template's width."""
+    found = []
+    for one, width in zip(templates, widths, strict=True):
+        label, ordered, overlap = one
+        have = F.array(*[F.lit(w) for w in ordered])
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(near) - width + 1))
+        held = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(have, F.slice(near, i, width)))))  # noqa: B023
+        share = F.when(F.size(candidates(near, [one])) > 0, held)
+        found.append(F.when(share >= overlap, F.struct(F.lit(label).alias("label"), (share / float(len(ordered))).alias("share"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     Lower case is of A-Z only; words are runs of anything but ASCII other than letters and digits. n_base counts the
     places where a phrase's words stand consecutively; first_word and last_word are the smallest and largest of their
-    starts, or null. labels adds those of templates that a line holds at least `threshold` of. score is 1 with a phrase,
-    else the largest share that a matched line holds of its template, else 0. blocks: (label, share) of the matches.
+    starts, or null. labels adds those of templates that a line, or a run across lines of the template's number of words
+    divided by `threshold`, holds at least `threshold` of. score is 1 with a phrase, else the largest share that a matched
+    block holds of its template, else 0. blocks: (label, share) of the matches, those across lines distinct.
     Null and empty texts have no words. Ids are carried along, null or repeated; other columns are not looked at.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     sets = [(label, sorted(set(t.split()))) for t, label in sorted(templates.items())]
+    widths = [math.floor(len(t.split()) / threshold + 1e-9) for t, _ in sorted(templates.items())]
     texts = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("text"))
     vocabulary = sorted({w for _, s in sets for w in s})
     line = F.explode(F.split("text", LINE))
@@ -102,10 +119,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return getattr(F, pick)(F.array(*columns)).cast("long")
 
     # Lines that have a prefix word, and with it the few that can match, are all that is split into words.
-    likely = F.filter(F.split("text", LINE), lambda x: x.rlike("(^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(" + "|".join(rare) + ")([\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]|$)"))
-    blocks = F.transform(likely, lambda x: F.array_distinct(F.split(F.trim(F.regexp_replace(x, GAP, " ")), " ")))
+    lines = F.split("text", LINE)
+    likely = F.filter(lines, lambda x: x.rlike("(^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(" + "|".join(rare) + ")([\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]|$)"))
+    blocks = F.transform("likely", lambda x: F.array_distinct(F.split(F.trim(F.regexp_replace(x, GAP, " ")), " ")))
     blocks = F.filter(blocks, lambda w: F.size(w) >= least)
-    out = out.withColumn("blocks", F.flatten(F.transform(blocks, lambda w: candidates(w, ordered))))
+    out = out.withColumn("likely", likely).withColumn("lines", F.size(lines))
+    # Texts of several lines that have a prefix word: what stands around each, as far as a run reaches.
+    reach = max(widths) - 1
+    several = (F.col("lines") > 1) & (F.size("likely") > 0)
+    out = out.withColumn("all", F.when(several, F.split(F.trim("normal"), " ")).otherwise(F.array().cast("array<string>")))
+    places = F.filter(F.transform("all", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    near = F.transform(places, lambda i: F.slice("all", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1))
+    across = F.array_distinct(F.flatten(F.transform(near, lambda w: wrapped(w, ordered, widths))))
+    out = out.withColumn("blocks", F.concat(F.flatten(F.transform(blocks, lambda w: candidates(w, ordered))), across))
     out = out.withColumn("base", base).withColumn("n_base", n.cast("long"))
     every = F.array_sort(F.array_distinct(F.concat("base", F.col("blocks.label"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("blocks.share")), F.lit(0.0)))

@@ -161,6 +161,20 @@ def test_licenses(docs, none):
     assert license_scan(none).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    notices = {
+        "bsd": "a b\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0. If a copy of the MPL was not",
+        "": "This program is free\nof redistribution and use in source\nand binary forms",
+    }
+    for label, text in notices.items():
+        narrow = text.replace(" ", "\n")
+        rows = [(1, text), (2, narrow), (3, "x " * 300 + "\n" + text + "\n" + "y " * 300)]
+        got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r["labels"] == label and (r["score"] >= 0.8) == (label != "") for r in got)
+
+
 def test_kneser_ney(docs, none):
     usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     own = [(r[0], ["<s>", *words((r[1] or "").translate(LOWER)), "</s>"], zlib.crc32(str(r[0]).encode()) % 7 != 2) for r in corpus()]
