@@ -5,7 +5,7 @@ of every full window, so that equal full windows have equal anchors. Each run of
 segment. An owner of hashes says of each segment whether the same segment occurs elsewhere, and whether its anchor
 occurs in another segment. Anchors that occur alone end there. Where segments are equal, so are all their windows.
 Only what is left, repeated anchors in differing segments, is extended to twice the length: full windows, exchanged
-one by one. With `longest`, windows that are repeated at one length go on to twice that length until none survives.
+one by one. Doubling ends there: the levels beyond the window, until no candidate survives, are not implemented.
 """
 
 from __future__ import annotations
