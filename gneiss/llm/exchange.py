@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
+#: Up to how many blocks their keys are chosen so that Spark deals out one to a task; beyond, they are numbered.
+MOST_EVEN = 10_000
 #: Width of exchanged hashes, and to how many low bits the owners' ranges are aligned.
 BITS, ALIGN = 60, 28
 SENT = "block long, owner long, n long, codes binary"
@@ -105,10 +107,19 @@ def width_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def by_hash(spark: SparkSession, id_column: Column) -> Column:
-    """Block key of a row, spread by its id. Only the index of a bounded array of keys is computed."""
-    keys = even_keys(n := width_of(spark))
-    return F.element_at(F.array(*[F.lit(int(k)).cast("long") for k in keys]), (F.pmod(F.xxhash64(id_column), F.lit(n)) + 1).cast("int")) if n <= 1000 else F.pmod(F.xxhash64(id_column), F.lit(n))
+def block_keys(n: int) -> np.ndarray:
+    """The keys of n blocks, or owners, in order; all that names a block or an owner takes them from here."""
+    return even_keys(n) if n <= MOST_EVEN else np.arange(n, dtype=np.int64)
+
+
+def by_hash(spark: SparkSession, *columns: Column | str) -> Column:
+    """Block key of a row, spread by the columns' values. Rows that differ in any of them are dealt out apart."""
+    n = width_of(spark)
+    number = F.pmod(F.xxhash64(*columns), F.lit(n))
+    if n > MOST_EVEN:
+        return number
+    keys = F.split(F.lit(",".join(map(str, block_keys(n)))), ",")  # folded to one constant
+    return F.element_at(keys, (number + 1).cast("int")).cast("long")
 
 
 def send(block: int, hashes: np.ndarray, owners: int, keys: np.ndarray, bits: int = BITS, counts: np.ndarray | None = None) -> pa.Table:

@@ -178,13 +178,13 @@ def perplexity(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col
     training rows all tokens are equally likely. Ids are carried along, null or repeated.
     """
     spark = docs.sparkSession
-    n, keys = ex.width_of(spark), ex.even_keys(ex.width_of(spark))
+    n, keys = ex.width_of(spark), ex.block_keys(ex.width_of(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(usable, F.lit(False)).alias("train"))
     heavy = heavy_words(rows, 0.5 / n) if n > 1 else {}
     hot = {h: max(2, int(np.ceil(2 * share * n))) for h, share in sorted(heavy.items())}
     parts = {h: [int(x) for x in share_of(h, np.arange(s, dtype=U))] for h, s in hot.items()}
     hot_parts = {p for own in parts.values() for p in own}
-    blocks = rows.withColumn("block", ex.by_hash(spark, F.col("id"))).repartition(n, "block")
+    blocks = rows.withColumn("block", ex.by_hash(spark, "id", "text")).repartition(n, "block")
 
     def tokens(table: pa.Table) -> Iterator[tuple[int, int, Tokens]]:
         data, offsets = tb.texts(table["text"])
@@ -299,7 +299,7 @@ def perplexity(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col
     size = lambda level, i: F.coalesce(F.sum(F.when(F.col("level") == level, F.element_at("sizes", i + 1))), F.lit(0)).cast("long")
     sizes = lambda level: F.array(*[size(level, i) for i in range(6)])
     totals = every.where("sizes is not null").agg(F.struct(sizes(1).alias("words"), sizes(2).alias("pairs"), sizes(3).alias("ends"), F.flatten(F.collect_list("hot")).alias("hot")).alias("totals"))
-    totals = totals.select(F.explode(F.array(*[F.lit(int(k)).cast("long") for k in keys])).alias("block"), F.lit(0).alias("level"), "totals")
+    totals = totals.select(F.explode(F.split(F.lit(",".join(map(str, keys))), ",").cast("array<bigint>")).alias("block"), F.lit(0).alias("level"), "totals")
     answers = every.select("block", "owner", "n", "values", "extra", "level").unionByName(totals, allowMissingColumns=True)
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)

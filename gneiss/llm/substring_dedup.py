@@ -110,9 +110,9 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 2:
         raise ValueError("window must be 2 words at least")
     spark = docs.sparkSession
-    n, keys = ex.width_of(spark), ex.even_keys(ex.width_of(spark))
+    n, keys = ex.width_of(spark), ex.block_keys(ex.width_of(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = rows.withColumn("block", ex.by_hash(spark, F.col("id"))).repartition(n, "block")
+    blocks = rows.withColumn("block", ex.by_hash(spark, "id", "text")).repartition(n, "block")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         _, data, offsets = _texts(table, "id", "text")

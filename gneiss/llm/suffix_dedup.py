@@ -94,7 +94,7 @@ def ordered_blocks(docs: DataFrame, ids: str) -> Column:
     """Block key of a row such that later blocks hold larger ids. The ids' quantiles, one per block, come to the driver; nulls are last."""
     spark = docs.sparkSession
     n = ex.width_of(spark)
-    keys = ex.even_keys(n)
+    keys = ex.block_keys(n)
     bounds = np.array(docs.approxQuantile(ids, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], dtype=np.float64)
     bounds = np.unique(bounds)
 
@@ -175,7 +175,7 @@ def earlier_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if window < 2:
         raise ValueError("window must be 2 bytes at least")
     spark = docs.sparkSession
-    n, keys = ex.width_of(spark), ex.even_keys(ex.width_of(spark))
+    n, keys = ex.width_of(spark), ex.block_keys(ex.width_of(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = rows.withColumn("block", ordered_blocks(rows.select("id"), "id")).repartition(n, "block")
 

@@ -298,3 +298,57 @@ def test_toxicity(spark, none):
     assert sum(got[i]["predicted"] == labels[i][1] for i in held) >= 0.95 * len(held)
     assert got[1000]["predicted"] == 1 and got[1001]["predicted"] == 0 and got[1001]["score"] == got[1002]["score"]
     assert toxicity(none, known, F.lit(True)).count() == 0
+
+
+def test_keys_of_many_blocks():
+    for n in (1, 7, 1001, 5000, ex.MOST_EVEN + 1):
+        keys = ex.block_keys(n)
+        assert len(set(keys.tolist())) == n
+        if n <= ex.MOST_EVEN:
+            assert sorted(np.mod(ex._spark_hash(keys).astype(np.int64), n)) == list(range(n))
+
+
+@pytest.fixture
+def numbered(monkeypatch):
+    monkeypatch.setattr(ex, "MOST_EVEN", 3)
+
+
+@pytest.fixture
+def partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def to(n):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+    yield to
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def few():
+    """A third of the rows has no id, a third one id."""
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(60)) for i in range(12)]
+    return [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(texts + texts[:6] + [None, ""])]
+
+
+def test_many_partitions(spark, partitions, numbered):
+    df = spark.createDataFrame(few(), "doc_id long, text string")
+    usable = F.col("doc_id") % 2 == 1
+    ops = [exact_groups, repeated_words, earlier_bytes, lambda d: perplexity(d, usable)]
+    of = lambda rows: sorted(map(repr, rows))
+    partitions(2)
+    want = [of(op(df).collect()) for op in ops]
+    partitions(9)
+    assert [of(op(df).collect()) for op in ops] == want
+
+
+def test_over_a_thousand_partitions(spark, partitions):
+    df = spark.createDataFrame(few(), "doc_id long, text string")
+    partitions(1001)
+    assert exact_groups(df).where("group_size > 1").count() == 14
+
+
+def test_exact_dedup_keeps_one(spark):
+    rows = [(1, "a", "x", 1), (1, "a", "y", 2), (None, "a", "z", 3), (None, None, "z", 4), (None, "", "z", 5), (7, "b", "q", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sha string, last long")
+    kept = drop_exact_copies(df)
+    assert kept.columns == df.columns and sorted((r[0], r[1] or "") for r in kept.collect() if r[0]) == [(1, "a"), (7, "b")] and kept.count() == 3
