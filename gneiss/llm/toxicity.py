@@ -1,6 +1,6 @@
 """Toxicity: a learned lexicon matched with misspellings, and scored by the words around each match.
 
-The lexicon, whole terms and stems, is learned from a bounded sample of labelled documents. Its trie is intersected with
+The lexicon, whole terms and stems, is learned from a bounded sample of labelled documents, counted in Spark. Its trie is intersected with
 the Levenshtein automata of the terms: the states of one deterministic automaton are sets of trie nodes with the edits
 spent, so all words of a batch go through one table side by side. Each match weighs what its kind (exact or misspelt)
 is worth by the labels; a document's features tell matches in quotation marks from others, and matches with another in
@@ -11,19 +11,21 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import textbytes as tb
+from gneiss.llm.work import written
 
 #: Documents that labels are learned from, at most.
-SAMPLE = 3000
+SAMPLE = 5000
+#: Tasks that share the work on them.
+TASKS = 12
 TERMS = 120
 WINDOW = 8
 QUOTES = "\"'«»‘’“”„‚‹›"
@@ -201,7 +203,7 @@ def matches(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndar
     if not model.terms or not len(words.starts):
         return (np.empty(0, np.int64),) * 3
     auto = automaton(model.terms)
-    classes = np.zeros(0x110000, dtype=np.uint8)
+    classes = np.zeros(0x110000, dtype=np.uint16)
     for c, k in auto.classes.items():
         classes[ord(c)] = k
     term, edits = auto.run(classes[words.points], words.starts, words.ends)
@@ -240,82 +242,114 @@ def features(model: Model, texts: list[str]) -> np.ndarray:
     return np.log1p(np.maximum(out, 0))
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Model:
-    """Terms and stems that tell label 1. Documents that share the least hash of their words, as near copies do, count once."""
-    words = words_of(texts)
-    spans = np.searchsorted(words.doc, np.arange(len(texts) + 1))
-    hits: dict[bool, dict[str, set]] = {True: defaultdict(set), False: defaultdict(set)}
-    groups: dict[bool, set] = {True: set(), False: set()}
-    vocabularies = []
-    for d in range(len(texts)):
-        own = {words.text(i) for i in range(spans[d], spans[d + 1])}
-        group = min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in own), default=0)
-        vocabularies.append((bool(toxic[d]), group, own))
-        groups[bool(toxic[d])].add(group)
-    n_toxic, n_clean = max(1, len(groups[True])), max(1, len(groups[False]))
-
-    def parts(own: set[str]) -> set[tuple[str, bool]]:
-        return {(w, False) for w in own if len(w) >= 3} | {(w[:k], True) for w in own for k in range(4, min(len(w), 9))}
-
-    seen: dict[tuple[str, bool], set] = defaultdict(set)
-    for label, group, own in vocabularies:
-        if label:
-            for p in parts(own):
-                seen[p].add(group)
-    least = max(3, 0.02 * n_toxic)
-    seen = {p: g for p, g in seen.items() if len(g) >= least}
-    clean: dict[tuple[str, bool], set] = defaultdict(set)
-    for label, group, own in vocabularies:
-        if not label:
-            for p in parts(own):
-                if p in seen:
-                    clean[p].add(group)
-
-    def value(p: tuple[str, bool]) -> float:
-        return float(np.log((len(seen[p]) + 0.5) / (n_toxic + 1)) - np.log((len(clean[p]) + 0.5) / (n_clean + 1)))
-
-    # Of a stem and its longer stems and words, the one that tells most of most documents.
-    telling = sorted((p for p in seen if value(p) >= 2.5 and len(seen[p]) >= 4 * len(clean[p])), key=lambda p: (-len(seen[p]) * value(p), len(p[0]), p))
+#: Parts of the sample that a lexicon is learned from: either half, or all.
+SUBSETS = (0, 1, None)
+
+
+def _groups(subset: int | None, value: str = "grp", label: int | None = None) -> Column:
+    """Aggregate: distinct values of a subset's rows, and of one label if it is given."""
+    inside = F.lit(True) if subset is None else F.col("fold") == subset
+    return F.size(F.collect_set(F.when(inside if label is None else inside & (F.col("y") == label), F.col(value))))
+
+
+def _names(prefix: str) -> list[str]:
+    return [f"{prefix}{'_' if s is None else s}" for s in SUBSETS]
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """(text, y) with the text's distinct words, its half (fold), and the least hash of its words, which near copies share (grp)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = tb.texts(batch.column("text"))
+            for a, b in tb.pieces(offsets):
+                texts = batch.column("text")[a:b].to_pylist()
+                words = words_of(texts)
+                spans = np.searchsorted(words.doc, np.arange(len(texts) + 1))
+                own = [sorted({words.text(i) for i in range(spans[d], spans[d + 1])}) for d in range(len(texts))]
+                groups = [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in x), default=0) for x in own]
+                fold = [zlib.crc32(re.sub(r"\s+", " ", t)[:40].encode("utf-8", "surrogatepass")) % 2 for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("text")[a:b], batch.column("y")[a:b], pa.array(fold, pa.int32()), pa.array(groups, pa.int64()), pa.array(own, pa.list_(pa.string()))], names=["text", "y", "fold", "grp", "words"])
+
+    return rows.mapInArrow(kernel, "text string, y int, fold int, grp long, words array<string>")
+
+
+def parts_of(words: DataFrame) -> DataFrame:
+    """Each row once per part of its word: the word itself, and its beginnings of 4 to 8 letters as stems."""
+    n = F.length("word")
+    whole = F.when(n >= 3, F.array(F.struct(F.col("word").alias("part"), F.lit(False).alias("stem")))).otherwise(F.array())
+    stems = F.when(n >= 5, F.transform(F.sequence(F.lit(4), F.least(n, F.lit(9)) - 1), lambda k: F.struct(F.substring("word", F.lit(1), k).alias("part"), F.lit(True).alias("stem")))).otherwise(F.array())
+    return words.select("*", F.inline(F.concat(whole, stems)))
+
+
+def _value(seen: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    return float(np.log((seen + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)))
+
+
+def choose_terms(parts: list[tuple[str, bool, int, int, int]], n_toxic: int, n_clean: int) -> dict[tuple[str, bool], float]:
+    """Terms and their values, of (part, stem, groups of toxic documents, of clean ones, distinct toxic words): of a stem and its longer stems and words, the one that tells most of most documents."""
+    seen = {(p, stem): t for p, stem, t, _, _ in parts if t >= max(3, 0.02 * n_toxic)}
+    clean = {(p, stem): c for p, stem, _, c, _ in parts}
+    kinds = {p: w for p, stem, _, _, w in parts if stem}
+    value = {p: _value(seen[p], clean[p], n_toxic, n_clean) for p in seen}
+    telling = sorted((p for p in seen if value[p] >= 2.5 and seen[p] >= 4 * clean[p]), key=lambda p: (-seen[p] * value[p], len(p[0]), p))
     covered: set[str] = set()
-    whole: list[tuple[str, bool]] = []
     terms: list[tuple[str, bool]] = []
     for text, stem in telling:
         if any(text[:k] in covered for k in range(4, len(text) + 1)):
             continue
-        if stem and len({w for label, _, own in vocabularies if label for w in own if w.startswith(text)}) < 4:
+        if stem and kinds[text] < 4:
             continue
-        if stem and any(w.startswith(text) and len(seen[w, False] & seen[text, True]) >= 0.8 * len(seen[text, True]) for w, _ in whole):
+        if stem and any(w.startswith(text) and seen[w, False] >= 0.8 * seen[text, True] for w, s in terms if not s and len(w) > len(text)):
             continue  # one word makes up the stem
         if stem:
             covered.add(text)
-        else:
-            whole.append((text, stem))
         terms.append((text, stem))
         if len(terms) >= TERMS:
             break
-    terms = [t for t in terms if t[1] or not any(t[0][:k] in covered for k in range(4, len(t[0]) + 1))]
-    model = Model(terms=terms)
-    at, term, edits = matches(model, words)
-    fuzzy: dict[str, dict[bool, set]] = defaultdict(lambda: {True: set(), False: set()})
-    of: dict[str, int] = {}
-    for i, t, e in zip(at, term, edits, strict=True):
-        if e:
-            label, group, _ = vocabularies[words.doc[i]]
-            w = words.text(i)
-            fuzzy[w][label].add(group)
-            of[w] = int(t)
-    model.harmless = sorted(w for w, x in fuzzy.items() if x[False] and len(x[True]) * n_clean < 4 * len(x[False]) * n_toxic)
-    # What a misspelling not seen before is worth: among words seen in one document only, those of toxic documents.
-    single: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-    for w, x in fuzzy.items():
-        if len(x[True]) + len(x[False]) == 1:
-            single[of[w]][0 if x[True] else 1] += 1
-    for number, p in enumerate(terms):
-        t, c = single[number]
-        exact = value(p)
-        misspelt = float(np.log((t + 0.5) / n_toxic) - np.log((c + 0.05) / n_clean)) if c else exact
-        model.weights.append((max(0.0, exact), float(np.clip(misspelt, 0.0, exact))))
-    return model
+    return {t: value[t] for t in terms if t[1] or not any(t[0][:k] in covered for k in range(4, len(t[0]) + 1))}
+
+
+def misspelt(words: DataFrame, models: list[Model]) -> DataFrame:
+    """Of distinct words, those that a model's automaton takes for a misspelt term: the words' columns, the model's number and the term's."""
+    names = words.columns
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = words_of(batch.column("word").to_pylist())
+            for number, model in enumerate(models):
+                at, term, edits = matches(Model(terms=model.terms), own)
+                at, term = at[edits > 0], term[edits > 0]
+                found = batch.take(pa.array(own.doc[at], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(np.full(len(at), number), pa.int32()), pa.array(term, pa.int32())], names=[*names, "model", "term"])
+
+    return words.mapInArrow(kernel, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", model int, term int")
+
+
+def learn_lexicons(sample: DataFrame) -> list[Model]:
+    """Of the prepared sample, the model of each of SUBSETS, without coefficients. Parts and words are counted in Spark, documents of one group once; only what a share of the toxic ones has comes to the driver, which for texts of bounded length is a bounded number."""
+    sizes = sample.groupBy("y").agg(*[_groups(s).alias(n) for s, n in zip(SUBSETS, _names("n"), strict=True)]).collect()
+    totals = [[max([1, *(r[n] for r in sizes if r["y"] == y)]) for y in (1, 0)] for n in _names("n")]
+    words = sample.select("y", "fold", "grp", F.explode("words").alias("word"))
+    toxic = parts_of(words.where("y = 1")).groupBy("part", "stem").agg(*[_groups(s).alias(n) for s, n in zip(SUBSETS, _names("t"), strict=True)], *[_groups(s, "word").alias(n) for s, n in zip(SUBSETS, _names("w"), strict=True)])
+    often = [F.col(n) >= max(3, 0.02 * total[0]) for n, total in zip(_names("t"), totals, strict=True)]
+    toxic = written(toxic.where(often[0] | often[1] | often[2]), "parts")
+    clean = parts_of(words.where("y = 0")).join(toxic.select("part", "stem"), ["part", "stem"]).groupBy("part", "stem").agg(*[_groups(s).alias(n) for s, n in zip(SUBSETS, _names("c"), strict=True)])
+    counts = toxic.join(clean, ["part", "stem"], "left").fillna(0).collect()
+    valued = [choose_terms([(r["part"], r["stem"], r[t], r[c], r[w]) for r in counts], *total) for t, c, w, total in zip(_names("t"), _names("c"), _names("w"), totals, strict=True)]
+    models = [Model(terms=list(v)) for v in valued]
+    each = words.groupBy("word").agg(*[_groups(s, label=y).alias(n) for y, p in ((1, "t"), (0, "c")) for s, n in zip(SUBSETS, _names(p), strict=True)])
+    found = misspelt(each, models).collect()
+    for number, (model, value, (n_toxic, n_clean)) in enumerate(zip(models, valued, totals, strict=True)):
+        own = [(r["word"], r["term"], r[_names("t")[number]], r[_names("c")[number]]) for r in found if r["model"] == number]
+        model.harmless = sorted(w for w, _, t, c in own if c and t * n_clean < 4 * c * n_toxic)
+        # What a misspelling not seen before is worth: among words seen in one document only, those of toxic documents.
+        for k, term in enumerate(model.terms):
+            single = [t for _, of, t, c in own if of == k and t + c == 1]
+            t, c = sum(single), len(single) - sum(single)
+            worth = float(np.log((t + 0.5) / n_toxic) - np.log((c + 0.05) / n_clean)) if c else value[term]
+            model.weights.append((max(0.0, value[term]), float(np.clip(worth, 0.0, value[term]))))
+    return models
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
@@ -332,35 +366,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[floa
     return beta.tolist()
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """The model of some labelled texts; features for the logistic part come from lexicons learned on the other half. Labels of one class, or none, give that class's share as score."""
-    first: dict[str, int] = {}
-    for t, y in zip(texts, toxic, strict=True):
-        first[t] = max(y, first.get(t, 0))
-    texts, y = list(first), np.array(list(first.values()), dtype=np.float64)
-    if not len(texts) or y.min() == y.max():
-        share = float(np.clip(y.mean(), 0.001, 0.999)) if len(texts) else 0.5 - 1e-9
-        return Model(coefficients=[float(np.log(share / (1 - share))), *[0.0] * 5])
-    fold = np.array([zlib.crc32(re.sub(r"\s+", " ", t)[:40].encode("utf-8", "surrogatepass")) % 2 for t in texts])
-    x = np.zeros((len(texts), 5))
-    for f in (0, 1):
-        own, other = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-        if len(own) and len(other):
-            half = learn_lexicon([texts[i] for i in other], y[other])
-            x[own] = features(half, [texts[i] for i in own])
-    model = learn_lexicon(texts, y)
-    model.coefficients = fit_logistic(x, y)
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, usable: F.Column, id_col: str, text_col: str, label_col: str, sample: int) -> Model:
-    """Model from `sample` labelled documents at most, those of least hash of their id."""
+def fold_features(sample: DataFrame, models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample's rows, each row's by the lexicon of the other half, in an order of their own."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = tb.texts(batch.column("text"))
+            for a, b in tb.pieces(offsets):
+                texts, fold = batch.column("text")[a:b].to_pylist(), batch.column("fold")[a:b].to_numpy()
+                x = np.zeros((len(texts), 5))
+                for f in (0, 1):
+                    own = np.flatnonzero(fold == f)
+                    x[own] = features(models[1 - f], [texts[i] for i in own])
+                yield pa.RecordBatch.from_arrays([batch.column("y")[a:b], pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+
+    rows = sorted((r["y"], *r["x"]) for r in sample.select("text", "fold", "y").mapInArrow(kernel, "y int, x array<double>").collect())
+    return np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], dtype=np.float64)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, sample: int) -> Model:
+    """Model from `sample` labelled documents at most, those of least hash of their id, with one text (the least) for each id. Their texts stay with the executors; features for the logistic part come from lexicons learned on the other half. Labels of one class, or none, give that class's share as score."""
     known = labels.select(F.col(id_col).alias("known"), F.col(label_col).cast("int").alias("y")).where(F.col("known").isNotNull() & F.col("y").isNotNull())
     known = known.withColumnRenamed("known", id_col).where(usable).groupBy(id_col).agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample).withColumnRenamed(id_col, "known")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("known")).select("id", "text", "y")
-    found = sorted(((r["id"], r["text"], r["y"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    return fit([t for _, t, _ in found], [y for _, _, y in found])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("known"))
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).groupBy("text").agg(F.max("y").alias("y"))
+    own = written(prepared(rows.select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).repartition(TASKS)), "sample")
+    share = own.agg(F.avg("y")).first()[0]
+    if share in (None, 0.0, 1.0):
+        share = 0.5 - 1e-9 if share is None else float(np.clip(share, 0.001, 0.999))
+        return Model(coefficients=[float(np.log(share / (1 - share))), *[0.0] * 5])
+    models = learn_lexicons(own)
+    x, y = fold_features(own, models)
+    models[2].coefficients = fit_logistic(x, y)
+    return models[2]
 
 
 def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
@@ -380,7 +419,7 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(kernel, "id long, score double, matched boolean").withColumnRenamed("id", id_col)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: id, score (0 to 1), matched, predicted (score >= 0.5).
 
     usable, of the id column, says which labels may be learned from. Of several labels of an id the largest counts; null

@@ -352,3 +352,20 @@ def test_exact_dedup_keeps_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, sha string, last long")
     kept = drop_exact_copies(df)
     assert kept.columns == df.columns and sorted((r[0], r[1] or "") for r in kept.collect() if r[0]) == [(1, "a"), (7, "b")] and kept.count() == 3
+
+
+def test_toxicity_learns_from_many_letters(spark):
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    word = lambda i: "".join(letters[(7 * i + j) % 700] for j in range(7))
+    rows = [(i, "".join(f"t{i}t{j} " for j in range(400)) + " ".join([word(k) for k in range(110)] if i % 2 else ["plain", f"w{i}x", "text"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(df, known, F.lit(True)).collect()}
+    assert all(got[i] == i % 2 for i in range(40))
+
+
+def test_toxicity_of_one_class_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a c", "x"), (1, "a b", "x"), (None, None, "x"), (2, "x" * 100_000, "x")], "doc_id long, text string, y string")
+    known = spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity(df, known, F.lit(True)).collect()
+    assert len(got) == 5 and {r["predicted"] for r in got} == {0} and len({r["score"] for r in got}) == 1
