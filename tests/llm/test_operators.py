@@ -357,7 +357,7 @@ def test_exact_dedup_keeps_one(spark):
 def test_toxicity_learns_from_many_letters(spark):
     letters = [chr(0x4E00 + i) for i in range(700)]
     word = lambda i: "".join(letters[(7 * i + j) % 700] for j in range(7))
-    rows = [(i, "".join(f"t{i}t{j} " for j in range(400)) + " ".join([word(k) for k in range(110)] if i % 2 else ["plain", f"w{i}x", "text"])) for i in range(40)]
+    rows = [(i, "".join(f"t{i}{chr(97 + j % 26)}{chr(97 + j // 26)} " for j in range(400)) + " ".join([word(k) for k in range(110)] if i % 2 else ["plain", f"w{i}x", "text"])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in toxicity(df, known, F.lit(True)).collect()}
