@@ -9,7 +9,7 @@ from gneiss.llm.work import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of edges (a, b), by alternating large-star and small-star steps, each of which links a node's neighbours to the smallest of them. A step's rows are links, so no task holds a component."""
+    """(node, component) of the nodes of edges (a, b), by alternating large-star and small-star steps, each of which links a node's neighbours to the smallest of them. The links of one node meet in a join by that node, which Spark splits where they are many; they are never held at once."""
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = None
     while True:
@@ -25,3 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return links.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) when links (a, b) are added; only the components that these connect are looked at."""
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")).where("a <> b").distinct()
+    between = written(between, "between")
+    if between.isEmpty():
+        return found
+    merged = written(components(between), "merged")
+    new = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(new.unionByName(merged.join(found, "node", "left_anti")), "components")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import textbytes as tb
-from gneiss.llm.components import components
+from gneiss.llm.components import components, joined
 from gneiss.llm.work import written
 
 U = np.uint64
@@ -27,6 +27,8 @@ KEPT = 4
 #: Standard deviations of the estimate that a pair may fall below the threshold before it is dropped.
 SLACK = 6.0
 TILE = 1000
+#: Pairs of one first member that are confirmed together, about.
+GROUP = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,27 +157,29 @@ def likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union. Pairs of one first member are dealt out in bounded groups, each with that member's text."""
-    spread = F.pmod(F.xxhash64("b"), F.lit(64))
-    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", spread.alias("part"), "text")
-    heads = pairs.select("a", spread.alias("part")).distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "part", "text")
+    """Pairs some of whose texts' full sets have 100 * intersection >= percent * union. The pairs of one first member are dealt out in groups of about GROUP, each with that member's texts."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "part", "text")
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "part", "text")
 
     def kernel(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table["b"]
-        head = np.flatnonzero(ids.is_null().to_numpy())[0]
-        data, offsets = tb.texts(table["text"])
-        of = lambda i: shingle_sets(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), width)[0]
-        own = of(head)
-        good = []
-        for i in range(table.num_rows):
-            if i == head:
-                good.append(False)
-                continue
-            other = of(i)
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            good.append(100 * both >= percent * (len(own) + len(other) - both))
-        return table.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        head = table["b"].is_null().to_numpy()
+        data, offsets = tb.texts(table["text"].filter(pa.array(head)))
+        hashes, limits = shingle_sets(data, offsets, width)
+        own = [hashes[x:y] for x, y in zip(limits[:-1], limits[1:], strict=True)]
+        rest = table.filter(pa.array(~head))
+        data, offsets = tb.texts(rest["text"])
+        good = np.zeros(rest.num_rows, dtype=bool)
+        for a, b in tb.pieces(offsets):
+            hashes, limits = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+            size = np.diff(limits)
+            for x in own:
+                same = np.concatenate(([0], np.cumsum(x[np.minimum(np.searchsorted(x, hashes), len(x) - 1)] == hashes))) if len(x) else np.zeros(len(hashes) + 1, np.int64)
+                both = same[limits[1:]] - same[limits[:-1]]
+                good[a:b] |= 100 * both >= percent * (len(x) + size - both)
+        return rest.select(["a", "b"]).filter(pa.array(good))
 
     return members.unionByName(heads).groupBy("a", "part").applyInArrow(kernel, "a long, b long")
 
@@ -200,10 +204,10 @@ def _forest(left: np.ndarray, right: np.ndarray, likeliest_first: np.ndarray) ->
 
 
 def between(members: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """Likely pairs of sets in one bucket but different components, or of them a forest over the components; members: band, key, id, component, n_shingles, signature, and the bucket's number of sets. Large buckets are compared tile by tile."""
+    """Likely pairs of sets in one bucket but different components, or of them a forest over the components; members: key, id, component, n_shingles, signature, and the bucket's number of sets. Large buckets are compared tile by tile."""
     tiled = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    dealt = tiled.select("band", "key", "id", "component", "n_shingles", "signature", "bitmap", "tile", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    dealt = tiled.select("key", "id", "component", "n_shingles", "signature", "bitmap", "tile", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
     least = floor_of(threshold)
 
     def kernel(table: pa.Table) -> pa.Table:
@@ -235,7 +239,7 @@ def between(members: DataFrame, threshold: float, forest: bool) -> DataFrame:
         x, y = ids[i], ids[j]
         return pa.table([np.minimum(x, y), np.maximum(x, y)], names=["a", "b"])
 
-    return dealt.groupBy("band", "key", "low", "high").applyInArrow(kernel, "a long, b long").distinct()
+    return dealt.groupBy("key", "low", "high").applyInArrow(kernel, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -245,9 +249,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words, or all its words if they are fewer. Documents are linked if 100 * intersection >= percent * union.
     component_id is the smallest id that links reach, set_id the smallest id with the same set; kept marks the row with
     the component's own id. Null or empty texts and such without words have the empty set and are linked with nothing.
-    Rows with a null id are linked with nothing and kept; repeated ids make one document of the sets of their texts'
-    links. Links that banding misses have a chance of under 1e-7 each at 80 percent.
+    Rows with a null id are linked with nothing and kept; an id that several rows have is linked with all that any of
+    its texts is. Links that banding misses have a chance of under 1e-7 each at 80 percent, and of 2e-4 at 70, the least allowed.
     """
+    if not 70 <= percent <= 100:
+        raise ValueError("the bands are for similarities of 70 to 100 percent")
     threshold = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = written(sign(rows, shingle), "signatures")
@@ -255,31 +261,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Documents with equal sets: the smallest id stands for all.
     sets = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("set_id"))
     owned = written(full.select("id", "set_a", "set_b", "n_shingles").join(sets, ["set_a", "set_b", "n_shingles"]).select("id", "n_shingles", "set_id"), "sets")
-    own = written(full.join(sets, ["set_a", "set_b", "n_shingles"]).where("id = set_id").select("id", "n_shingles", "bands", "signature", "bitmap").dropDuplicates(["id", "n_shingles"]), "own")
-    buckets = own.select("id", F.posexplode("bands").alias("band", "key"))
-    firsts = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    firsts = written(firsts, "buckets")
-    star = buckets.join(firsts, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    own = full.join(sets, ["set_a", "set_b", "n_shingles"]).where("id = set_id").dropDuplicates(["id", "set_a", "set_b", "n_shingles"])
+    own = written(own.select("id", "n_shingles", "bands", "signature", "bitmap"), "own")
+    # A key is of one band, as each band's keys are hashed apart. Only buckets of several sets are kept.
+    buckets = own.select("id", F.explode("bands").alias("key"))
+    firsts = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = written(buckets.join(firsts, "key"), "buckets")
+    star = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     texts = rows.where("id is not null")
-    tried = written(likely(star, own, threshold), "tried")
+    tried = written(likely(star, own, threshold).distinct(), "tried")
     links = written(confirmed(tried, texts, shingle, percent).distinct(), "confirmed")
     # An id that several rows share links its rows' sets.
     same = owned.where("id <> set_id").select(F.col("set_id").alias("a"), F.col("id").alias("b"))
-    shared = same.join(own.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct()
-    links = links.unionByName(shared)
+    links = links.unionByName(same.join(own.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct())
     found = written(components(links), "components")
     for forest in (True, False):
         # Buckets whose sets are in more than one component.
-        labelled = own.select("id", "bands").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        places = labelled.select("id", "component", F.posexplode("bands").alias("band", "key")).join(firsts.select("band", "key", "size"), ["band", "key"])
-        mixed = places.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where("x <> y and size > 2")
+        places = shared.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "size")
+        mixed = places.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         # Only members of such buckets are joined with their signatures.
-        members = written(places.select("id", "component", "band", "key").join(mixed.select("band", "key", "size"), ["band", "key"]), "members")
+        members = written(places.join(mixed, "key", "left_semi"), "members")
         members = members.join(own.select("id", "n_shingles", "signature", "bitmap"), "id")
         more = written(between(members, threshold, forest).join(tried, ["a", "b"], "left_anti"), "more")
         tried = tried.unionByName(more)
-        links = written(links.unionByName(confirmed(more, texts, shingle, percent).distinct()), "confirmed")
-        found = written(components(links), "components")
+        found = joined(found, confirmed(more, texts, shingle, percent))
     every = signed.select("id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
     every = every.withColumn("set_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("set_id")).otherwise(F.col("id")))
     every = every.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")

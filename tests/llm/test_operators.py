@@ -149,6 +149,14 @@ def test_near_dedup(docs, none):
     assert near_groups(none).count() == 0
 
 
+def test_near_dedup_of_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "pq")
+    rows = [(1, a, 1, 1), (1, b, 1, 1), (2, f"{a} end", 2, 2), (3, f"{b} end", 3, 3), (4, "else " * 9, 4, 4), (None, a, 5, 5)]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string, id long, part long")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
+
+
 def test_licenses(docs, none):
     got = {(r["doc_id"]): r for r in license_scan(docs).collect()}
     for i, text, *_ in corpus():
