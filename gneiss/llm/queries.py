@@ -110,7 +110,47 @@ def _windows(table: str) -> str:
     return ", ".join(steps)
 
 
+def _quotas(table: str, group: str, party: str, votes: str, seats: str) -> str:
+    """Query of a table's rows with their seats (quota) by highest quotients."""
+    over = f"PARTITION BY {group}" if group else ""
+    return f"""SELECT * EXCLUDE (least_, most_, miss, n, share, k, quotient, place), CAST(any_value(least_) + count(*) FILTER (quotient IS NOT NULL AND place <= miss) AS BIGINT) AS quota FROM (
+    SELECT *, row_number() OVER ({over} ORDER BY quotient DESC NULLS LAST, {party}, k) AS place FROM (
+    SELECT *, CASE WHEN k > least_ THEN CAST({votes} AS DOUBLE) / (2 * k - 1) END AS quotient FROM (SELECT *, unnest(range(least_, most_ + 1)) AS k FROM (
+    SELECT *, {seats} - sum(least_) OVER ({over}) AS miss FROM (
+    SELECT *, CAST(CASE WHEN {votes} > 0 THEN floor(share * greatest({seats} - n / 2 - 2, 0) + 0.5) ELSE 0 END AS BIGINT) AS least_, CAST(CASE WHEN {votes} > 0 THEN floor(share * ({seats} + n / 2 + 2) + 0.5) ELSE 0 END AS BIGINT) AS most_ FROM (
+    SELECT *, {votes} / CAST(sum({votes}) OVER ({over}) AS DOUBLE) AS share, count(*) FILTER ({votes} > 0) OVER ({over}) AS n FROM {table})))))) GROUP BY ALL"""
+
+
+def _before(x: str) -> str:
+    """Words of a shard's rest before place x."""
+    j = f"least(floor({x} / block), whole)"
+    count = lambda k: f"(CASE WHEN whole > 0 THEN floor(({k}) * picked / whole + turn) ELSE 0 END)"
+    here = count(j)
+    return f"""({here} * block - CASE WHEN cut AND {here} = picked THEN block - over_ ELSE 0 END
+    + CASE WHEN {j} < whole AND {count(j + " + 1")} > {here} THEN least({x} - {j} * block, CASE WHEN cut AND {here} = picked - 1 THEN over_ ELSE block END) ELSE 0 END
+    + CASE WHEN {j} = whole AND chosen = whole THEN least({x} - whole * block, over_) ELSE 0 END)"""
+
+
+_DRAW = "CAST('0x' || substr(md5({}), 1, {}) AS BIGINT)"
 ORACLES: dict[str, str] = {
+    "op10_source_mix": f"""WITH r AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, {_DRAW.format("'17' || chr(10) || coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')", 15)} AS draw FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS number FROM r GROUP BY source),
+    w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(number - 1) % 3 + 1] AS weight FROM s),
+    m AS (SELECT *, 2.0::DOUBLE * source_size AS lim, 2.0::DOUBLE * source_size / weight AS meets, 1.5::DOUBLE * sum(source_size) OVER () AS words FROM w),
+    o AS (SELECT *, (words - sum(lim) OVER y) / nullif(sum(weight) OVER () - sum(weight) OVER y, 0) AS level, lead(meets) OVER y AS after, row_number() OVER y AS place FROM m WINDOW y AS (ORDER BY meets, number)),
+    l AS (SELECT coalesce(CASE WHEN any_value(words) / sum(weight) <= min(meets) THEN any_value(words) / sum(weight) END, arg_min(level, place) FILTER (level <= after), max(meets)) AS level FROM o),
+    t AS (SELECT m.*, least(lim, weight * level) AS target FROM m, l),
+    g AS (SELECT *, CAST(greatest(1, least(64, coalesce(floor(min(target) FILTER (target > 0) OVER () / 16), 1))) AS BIGINT) AS block FROM t),
+    h AS (SELECT source, number, source_size, target, block, CAST(floor(sum(target) OVER () / block + 0.5) AS BIGINT) AS seats, CAST(greatest(1, ceil(source_size / 2097152)) AS BIGINT) AS shards FROM g),
+    q AS ({_quotas("h", "", "number", "target", "seats")}),
+    d AS (SELECT doc_id, size, draw, number, source_size, target, block, quota AS seats, draw % shards AS shard FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source),
+    u AS (SELECT number, shard, any_value(seats) AS seats, CAST(sum(size) AS BIGINT) AS shard_size FROM d GROUP BY ALL),
+    v AS ({_quotas("u", "number", "shard", "shard_size", "seats")}),
+    x AS (SELECT d.*, shard_size, least(quota * block, CAST(floor(2.0 * shard_size) AS BIGINT)) AS words, {_DRAW.format("'19' || chr(10) || d.number || chr(10) || d.shard", 5)} / 1048576 AS turn FROM d JOIN v ON d.number = v.number AND d.shard = v.shard),
+    p AS (SELECT *, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes, shard_size // block AS whole, CAST(sum(size) OVER (PARTITION BY number, shard ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM x),
+    a AS (SELECT *, (words - passes * shard_size) // block AS chosen, (words - passes * shard_size) % block AS over_, stop - size AS start FROM p),
+    b AS (SELECT *, chosen < whole AND over_ > 0 AS cut, chosen + CAST(chosen < whole AND over_ > 0 AS BIGINT) AS picked FROM a)
+    SELECT doc_id, size, source_size, target, CAST(CASE WHEN shard_size > 0 THEN passes * size + {_before("stop")} - {_before("start")} ELSE 0 END AS BIGINT) AS taken FROM b""",
     "op1_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
     p AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
     r AS (SELECT doc_id, i FROM p WHERE win IN (SELECT win FROM p GROUP BY win HAVING count(*) > 1)),
