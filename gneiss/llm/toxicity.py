@@ -193,7 +193,8 @@ _automata: dict[tuple, Automaton] = {}
 def automaton(terms: list[tuple[str, bool]]) -> Automaton:
     key = tuple(terms)
     if key not in _automata:
-        _automata.clear()
+        if len(_automata) > 3:
+            _automata.clear()
         _automata[key] = Automaton(terms)
     return _automata[key]
 
