@@ -1,14 +1,16 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Two texts within edit distance e of each other share at least |item| + 1 - q * (e + 1) of an item's character q-grams,
-and all of them lie within e diagonals. The q-grams of a bounded slice of the benchmark are a sorted array in each
-worker. A document's q-grams that hit it are counted in overlapping bands of diagonals; a band that reaches the bound
-marks a region, and the region is verified by banded alignment, which finds the least edit distance of the item to any
-part of it. Documents are only read, in whole and once per slice; nothing is shuffled but the hits.
+and all of them lie within e diagonals. q follows the item's length, so that this bound is above 0. The items of a
+bounded slice of the benchmark are broadcast, and their q-grams are sorted arrays in each worker. A document's q-grams
+that hit them are counted in overlapping bands of diagonals; a band that reaches the bound marks a region, and the region
+is verified by banded alignment, which finds the least edit distance of the item to any part of the text on those
+diagonals. Documents are only read, in whole and once per slice; nothing is shuffled but the hits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import textbytes as tb
+from gneiss.llm.work import written
 
 U = np.uint64
-#: Bits of the table that most of a document's q-grams are ruled out by.
-SIEVE = 24
+#: Longest q-grams; and the length under which items must occur as they are.
+LONGEST_GRAM, SHORT = 10, 20
+#: Pairs of equal q-grams that are held at once, about.
+HELD = 1 << 21
+#: What stands for places outside a text in an alignment.
+OUTSIDE = np.uint32(0xFFFFFFFF)
+
+_values: list[np.ndarray] = []
+
+
+def point_values(points: np.ndarray) -> np.ndarray:
+    """A fixed random 64-bit value for each code point."""
+    if not _values:
+        _values.append(tb.mix(np.arange(1, 0x110001, dtype=U) * U(0xD6E8FEB86659FD93)))
+    return _values[0][points]
+
+
+def points_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts end to end, and where each text begins among them."""
+    before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32), before[offsets]
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -28,136 +50,191 @@ def normalised(text: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-class Slice:
-    """Some items with the sorted hashes of their q-grams."""
-
-    def __init__(self, ids: list[int], items: list[str], q: int, rate: float):
-        self.ids, self.q = ids, q
-        self.items = [np.frombuffer(x.encode(), np.uint8) for x in items]
-        self.budget = [min(int(len(x) * rate), max(0, (len(x) + 1 - q) // q - 1)) for x in self.items]
-        hashes, of, at = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, x in enumerate(self.items):
-            h = tb.rolling(tb.prefix(tb.byte_values(x)), q)
-            hashes.append(h)
-            of.append(np.full(len(h), i))
-            at.append(np.arange(len(h)))
-        order = np.argsort(every := np.concatenate(hashes), kind="stable")
-        self.hashes, self.of, self.at = every[order], np.concatenate(of)[order], np.concatenate(at)[order]
-        self.sieve = np.zeros(1 << SIEVE, dtype=bool)
-        self.sieve[self.hashes >> U(64 - SIEVE)] = True
-
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, place in it and place in data of each shared q-gram."""
-        h = tb.rolling(tb.prefix(tb.byte_values(data)), self.q)
-        place = np.flatnonzero(self.sieve[h >> U(64 - SIEVE)])
+class Grams:
+    """Sorted hashes of the q-grams of the items of one q."""
+
+    def __init__(self, items: list[np.ndarray], own: list[int], q: int):
+        self.q = q
+        found = [tb.rolling(tb.prefix(point_values(items[i])), q) for i in own]
+        every = np.concatenate(found)
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.of = np.repeat(own, [len(h) for h in found])[order]
+        self.at = np.concatenate([np.arange(len(h)) for h in found])[order]
+        # A table of about 16 places a q-gram rules most of a document's out.
+        self.bits = min(24, max(12, (16 * len(every)).bit_length()))
+        self.sieve = np.zeros(1 << self.bits, dtype=bool)
+        self.sieve[self.hashes >> U(64 - self.bits)] = True
+
+    def hits(self, sums: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Item, place in it and place in the texts of each shared q-gram, some of them at a time."""
+        h = tb.rolling(sums, self.q)
+        place = np.flatnonzero(self.sieve[h >> U(64 - self.bits)])
         low = np.searchsorted(self.hashes, h[place], side="left")
         n = np.searchsorted(self.hashes, h[place], side="right") - low
-        entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.of[entry], self.at[entry], np.repeat(place, n)
-
-    def regions(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, first, end) of regions whose band of diagonals has as many q-grams of the item as the budget asks for."""
-        item, inside, place = self.hits(data)
-        if not len(item):
-            return []
-        doc = np.searchsorted(offsets, place, side="right") - 1
-        whole = place + self.q <= offsets[doc + 1]
-        item, inside, place, doc = item[whole], inside[whole], place[whole], doc[whole]
-        budget, size = np.array(self.budget), np.array([len(x) for x in self.items])
-        need = np.maximum(1, size + 1 - self.q * (budget + 1))
-        diagonal = place - inside + int(size.max())
-        width = (budget + 1)[item]
+        place, low, n = place[n > 0], low[n > 0], n[n > 0]
+        for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HELD)) + 1):
+            if len(part):
+                own = n[part]
+                entry = np.repeat(low[part], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                yield self.of[entry], self.at[entry], np.repeat(place[part], own)
+
+
+class Slice:
+    """Some items, the edits that each may have, and their q-grams."""
+
+    def __init__(self, items: list[str], rate: float):
+        self.items = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in items]
+        self.size = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.budget = np.where(self.size < SHORT, 0, (self.size * rate).astype(np.int64))
+        q = np.where(self.size < SHORT, np.minimum(LONGEST_GRAM, self.size), np.clip(self.size // (self.budget + 1), 1, LONGEST_GRAM))
+        self.need = np.maximum(1, self.size + 1 - q * (self.budget + 1))
+        self.grams = [Grams(self.items, np.flatnonzero(q == k).tolist(), k) for k in sorted(set(q.tolist()))]
+
+    def regions(self, points: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, least diagonal) of the bands of twice budget + 1 diagonals that hold as many places of the item's q-grams as its budget asks for."""
+        sums, most, n = tb.prefix(point_values(points)), int(self.size.max()), len(self.items)
         found = []
-        # Bands are twice the budget wide and start at every budget, so that one holds any run of diagonals within it.
-        for shift in (0, 1):
-            band = (diagonal + shift * width) // (2 * width)
-            key = np.lexsort((inside, band, item, doc))
-            d, i, b, p = doc[key], item[key], band[key], inside[key]
-            start = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]))) if len(key) else np.empty(0, np.int64)
-            new = np.append(True, (p[1:] != p[:-1])) if len(key) else np.empty(0, bool)
-            new[start] = True
-            count = np.add.reduceat(new.astype(np.int64), start) if len(start) else np.empty(0, np.int64)
-            good = np.flatnonzero(count >= need[i[start]])
-            for g in good:
-                text, which, w = int(d[start[g]]), int(i[start[g]]), int(width[key[start[g]]])
-                low = int(b[start[g]]) * 2 * w - shift * w - int(size.max())
-                first = max(int(offsets[text]), low - w)
-                found.append((text, which, first, min(int(offsets[text + 1]), low + 3 * w + int(size[which]))))
-        return sorted(set(found))
-
-
-def best_alignment(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int]:
-    """Least edit distance of the whole item to any part of the region, and where that part ends; budget + 1 if it is above the budget. One row of the table at a time; runs of insertions by a running minimum."""
-    m = len(region)
-    column = np.arange(m + 1)
-    row = np.zeros(m + 1, dtype=np.int64)
+        for grams in self.grams:
+
+            def hits(grams: Grams = grams) -> Iterator[tuple[np.ndarray, ...]]:
+                for item, inside, place in grams.hits(sums):
+                    doc = np.searchsorted(offsets, place, side="right") - 1
+                    whole = place + grams.q <= offsets[doc + 1]
+                    yield item[whole], inside[whole], place[whole], doc[whole], doc[whole] * n + item[whole]
+
+            # Pairs of text and item with too few hits on all diagonals together are out.
+            pairs, counts, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for part in hits():
+                pair, count = np.unique(part[-1], return_counts=True)
+                pairs.append(pair)
+                counts.append(count)
+                held = [part] if len(pairs) == 2 else []
+            pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
+            pair = pair[np.bincount(of, weights=np.concatenate(counts), minlength=len(pair)) >= self.need[pair % n]]
+            if not len(pair):
+                continue
+            # Rows of text, item, shift and band, and how many of the item's places hit. Where a part of the hits ends within a band, a place may count twice, which lets more bands through.
+            rows, counts = [np.empty((4, 0), np.int64)], [np.empty(0, np.int64)]
+            for part in held or hits():
+                likely = pair[np.minimum(np.searchsorted(pair, part[-1]), len(pair) - 1)] == part[-1]
+                item, inside, place, doc, _ = (x[likely] for x in part)
+                width = self.budget[item] + 1
+                # Bands start at every budget + 1, so that one holds any diagonals that are within the budget of each other.
+                for shift in (0, 1):
+                    band = (place - offsets[doc] - inside + most + shift * width) // (2 * width)
+                    key = np.lexsort((inside, band, item, doc))
+                    row, p = np.stack([doc, item, np.full(len(doc), shift), band])[:, key], inside[key]
+                    first = np.append(True, (row[:, 1:] != row[:, :-1]).any(axis=0)) if len(key) else np.empty(0, bool)
+                    start = np.flatnonzero(first)
+                    new = first.copy()
+                    new[1:] |= p[1:] != p[:-1]
+                    if len(start):
+                        rows.append(row[:, start])
+                        counts.append(np.add.reduceat(new.astype(np.int64), start))
+            row, of = np.unique(np.hstack(rows), axis=1, return_inverse=True)
+            count = np.bincount(of.ravel(), weights=np.concatenate(counts), minlength=row.shape[1])
+            doc, item, shift, band = row[:, count >= self.need[row[1]]]
+            width = self.budget[item] + 1
+            found += zip(doc.tolist(), item.tolist(), ((2 * band - shift) * width - most).tolist(), strict=True)
+        return found
+
+    def aligned(self, which: int, text: np.ndarray, low: int) -> tuple[int, int] | None:
+        """Least edits within the budget, and where they end, of an item in a band of a text; short items must stand between spaces or ends."""
+        item, budget = self.items[which], int(self.budget[which])
+        if len(item) < SHORT:
+            end = low + len(item)
+            for at in (low, low + 1):
+                end = at + len(item)
+                if at >= 0 and end <= len(text) and (text[at:end] == item).all() and (at == 0 or text[at - 1] == 32) and (end == len(text) or text[end] == 32):
+                    return 0, end
+            return None
+        edits, end = best_alignment(item, text, low - budget - 1, 4 * (budget + 1), budget)
+        return (edits, end) if edits <= budget else None
+
+
+def best_alignment(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int]:
+    """Least edit distance of the whole item to any part of the text whose alignment stays on the diagonals [low, low + width], and where that part ends; budget + 1 if it is above the budget. One row of the band at a time; runs of insertions by a running minimum."""
+    n = len(item)
+    around = np.full(n + width, OUTSIDE, dtype=np.uint32)
+    a, b = max(0, low), min(len(text), low + n + width)
+    if a < b:
+        around[a - low : b - low] = text[a:b]
+    column = np.arange(width + 1)
+    row = np.zeros(width + 1, dtype=np.int64)
+    new = np.empty(width + 1, dtype=np.int64)
     for k, c in enumerate(item):
-        new = np.empty(m + 1, dtype=np.int64)
-        new[0] = k + 1
-        np.minimum(row[:-1] + (region != c), row[1:] + 1, out=new[1:])
+        np.add(row[:-1], around[k : k + width] != c, out=new[:-1])
+        new[-1] = row[-1] + 1
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - column) + column
         if row.min() > budget:
             return budget + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
+    j = int(row.argmin())
+    return int(row[j]), max(0, min(len(text), n + low + j))
 
 
 FOUND = "row long, item_id long, edits long, item_length long, start long, end long"
+_slices: dict[str, Slice] = {}
 
 
-def leaks(texts: DataFrame, part: Slice) -> DataFrame:
-    """Hits of (row, text) in one slice; places are of the normalised text's bytes."""
+def leaks(texts: DataFrame, ids: list[int], items: list[str], rate: float) -> DataFrame:
+    """Hits of (row, text) in one slice, written; places are of the normalised text's characters. Each worker makes the slice's arrays of the broadcast items, which slices() bounds."""
+    sent = texts.sparkSession.sparkContext.broadcast((ids, items))
+    name = uuid.uuid4().hex
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own_items = sent.value
+        if name not in _slices:
+            _slices.clear()
+            _slices[name] = Slice(own_items, rate)
+        part = _slices[name]
         for batch in batches:
             data, offsets = tb.texts(batch.column("text"))
-            ids = batch.column("row").to_pylist()
             rows = []
             for a, b in tb.pieces(offsets):
-                own = offsets[a : b + 1] - offsets[a]
-                piece = data[offsets[a] : offsets[b]]
-                done = set()
-                for text, which, first, end in part.regions(piece, own):
-                    if (text, which, first, end) in done:
-                        continue
-                    done.add((text, which, first, end))
-                    item = part.items[which]
-                    edits, stop = best_alignment(item, piece[first:end], part.budget[which])
-                    if edits <= part.budget[which]:
-                        stop += first - int(own[text])
-                        rows.append((ids[a + text], part.ids[which], edits, len(item), max(0, stop - len(item)), stop))
+                points, at = points_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for text, which, low in part.regions(points, at):
+                    if hit := part.aligned(which, points[at[text] : at[text + 1]], low):
+                        size = len(part.items[which])
+                        rows.append((batch.column("row")[a + text].as_py(), own_ids[which], hit[0], size, max(0, hit[1] - size), hit[1]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 6)], names=["row", "item_id", "edits", "item_length", "start", "end"])
 
-    return texts.mapInArrow(kernel, FOUND)
+    found = written(texts.mapInArrow(kernel, FOUND), "leaks")
+    sent.unpersist()
+    return found
 
 
-def slices(benchmark: DataFrame, item_col: str, text_col: str, q: int, rate: float, limit: int) -> Iterator[Slice]:
-    """The benchmark in slices of `limit` characters, each of which the driver and a worker can hold."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("text")).where(f"length(text) >= {2 * q}").distinct()
+def slices(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the benchmark in slices of about `limit` characters, one of which at a time the driver and a worker hold."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("text")).where("length(text) > 0").distinct()
     ids, texts, held = [], [], 0
     for r in items.orderBy("id", "text").toLocalIterator():
         ids.append(r["id"])
         texts.append(r["text"])
         held += len(r["text"])
         if held >= limit:
-            yield Slice(ids, texts, q, rate)
+            yield ids, texts
             ids, texts, held = [], [], 0
     if ids:
-        yield Slice(ids, texts, q, rate)
+        yield ids, texts
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, q: int = 10, rate: float = 0.1, slice_chars: int = 4_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, rate: float = 0.1, slice_chars: int = 4_000_000) -> DataFrame:
     """One row per distinct id of docs: id, contaminated, item_ids (sorted), hits (item_id, edits, item_length, start, end; edits least per item).
 
     A document is contaminated by an item if some part of it is within rate * |item| edits of the item, after lower
-    case and with runs of other than letters and digits as one space; the budget is lowered for short items so that the
-    filter bound stays above 0. Items under 2q such characters are too short to tell and match nothing. Null and empty
-    texts and items match nothing; rows with equal ids are taken together; a null id is an id like another.
+    case and with runs of other than letters and digits as one space. Items under 20 such characters must occur as they
+    are, between spaces or the text's ends. Null and empty texts and items match nothing; rows with equal ids are taken
+    together; a null id is an id like another. start is end - item_length, so about where the part begins. The rate must
+    be under a fifth, where q-grams of a few characters still tell.
     """
+    if not 0 <= rate < 0.2:
+        raise ValueError("rate must be from 0 to under 0.2")
     texts = docs.select(F.col(id_col).cast("long").alias("row"), normalised(F.col(text_col)).alias("text"))
     found = None
-    for part in slices(benchmark, item_col, item_text_col, q, rate, slice_chars):
-        own = leaks(texts, part)
+    for ids, items in slices(benchmark, item_col, item_text_col, slice_chars):
+        own = leaks(texts, ids, items, rate)
         found = own if found is None else found.unionByName(own)
     ids = texts.select("row").distinct()
     if found is None:

@@ -406,3 +406,49 @@ def test_mixing_small_sources(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in sizes) and target["e"] == 0
     for most in (1, 3):
         assert all(r["taken"] <= most * r["size"] for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), most=most, budget=2.5, shard_words=100).collect())
+
+
+def least_edits(item, text):
+    """Least edit distance of the item to any part of the text."""
+    row = [0] * (len(text) + 1)
+    for k, c in enumerate(item, 1):
+        new = [k]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_edit_distance(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = "abcdeéü日ß "
+    prose = lambda n: " ".join("".join(rng.choice(letters[:-1]) for _ in range(rng.randint(1, 7))) for _ in range(n))
+    items = [prose(n) for n in (1, 2, 3, 5, 6, 7, 8, 12, 20, 40, 60)] + ["a", "ab c", "aaaa aaaa aaaa aaaa aaaa aaaa"]
+
+    def edited(text, n):
+        for _ in range(n if len(text) > 9 else 0):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(("", rng.choice(letters[:-1]), text[at] + rng.choice(letters[:-1]))) + text[at + 1 :]
+        return text
+
+    texts = [prose(30) for _ in range(5)] + [None, ""]
+    for item in items:
+        for n in (0, len(item) // 20, len(item) // 10, len(item) // 10 + 1, len(item) // 7 + 2):
+            texts.append(f"{prose(rng.randint(0, 9))} {edited(item, n)} {prose(rng.randint(0, 9))}".strip())
+        texts += [edited(item, len(item) // 10), item[: len(item) * 9 // 10], item[: len(item) * 4 // 5], f"x{item}x"]
+    clean = lambda t: re.sub(r"\s+", " ", (t or "").lower()).strip()
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row long")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {}
+    for i, t in enumerate(map(clean, texts)):
+        for k, item in enumerate(map(clean, items)):
+            if len(item) < 20:
+                if f" {item} " in f" {t} ":
+                    want[i, k] = 0
+            elif (e := least_edits(item, t)) <= len(item) // 10:
+                want[i, k] = e
+    for held, limit in ((1 << 21, 4_000_000), (50, 100)):
+        monkeypatch.setattr("gneiss.llm.decontaminate.HELD", held)
+        got = contamination(docs, bench, slice_chars=limit).collect()
+        assert {(r["doc_id"], h["item_id"]): h["edits"] for r in got for h in r["hits"] or ()} == want
+        assert len(got) == len(texts) and all(r["contaminated"] == bool(r["hits"]) for r in got)
