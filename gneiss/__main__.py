@@ -20,15 +20,18 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-o", "--output", required=True)
     p.add_argument("--average", type=int, default=65536)
     p.add_argument("--mode", choices=[*archive.POLICIES, "auto"], default="auto")
+    p.add_argument("--codecs", choices=["auto", "stdlib"], default="auto", help="both mean raw, zlib and LZMA: external audio coders are no part of the engine")
     p.add_argument("--allow-growth", action="store_true")
+    p.add_argument("--work-dir")
     for name in ("inspect", "verify", "unpack"):
         commands.add_parser(name).add_argument("archive")
+    commands.choices["verify"].add_argument("--work-dir", help="taken for compatibility: nothing is written by verifying")
     commands.choices["unpack"].add_argument("-o", "--output", required=True)
     a = parser.parse_args(argv)
     spark = session()
     try:
         if a.command == "pack":
-            report = archive.pack(spark, a.sources, a.output, average=a.average, mode=a.mode, allow_growth=a.allow_growth)
+            report = archive.pack(spark, a.sources, a.output, average=a.average, mode=a.mode, allow_growth=a.allow_growth, work_dir=a.work_dir)
         elif a.command == "inspect":
             report = archive.inspect_archive(spark, a.archive)
         elif a.command == "verify":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import lzma
 import zlib
 
+#: The most bytes of an object, what an encoding may add, and the memory of an LZMA decoder.
 LARGEST, SPARE, LZMA_MEMORY = 8 << 20, 64 << 10, 64 << 20
 
 
@@ -12,8 +13,10 @@ class CodecError(ValueError):
     """An object that does not decode to exactly what was stored."""
 
 
-def encode(data: bytes) -> tuple[str, bytes]:
-    """The smallest of raw, zlib level 6 and, from 256 bytes on, LZMA preset 3; the first of equals."""
+def encode(data: bytes, kind: str = "raw", width: int = 1) -> tuple[str, bytes]:
+    """The smallest of raw, zlib level 6 and, from 256 bytes on, LZMA preset 3; the first of equals. kind and width say what the bytes are: whole samples of 2 to 4 bytes for pcm, else bytes."""
+    if kind not in ("raw", "pcm", "dsd") or type(width) is not int or (width not in (2, 3, 4) or len(data) % width if kind == "pcm" else width != 1):
+        raise CodecError("unknown kind, or a width that is not the kind's")
     if len(data) > LARGEST:
         raise CodecError("an object has 8 MiB at most")
     choices = [("raw", data), ("zlib", zlib.compress(data, 6))]
@@ -25,8 +28,10 @@ def encode(data: bytes) -> tuple[str, bytes]:
     return codec, encoded
 
 
-def decode(encoded: bytes, codec: str, size: int) -> bytes:
-    """The object's bytes: exactly `size`, from exactly one complete stream."""
+def decode(encoded: bytes, codec: str, size: int, width: int = 1) -> bytes:
+    """The object's bytes: exactly `size`, from exactly one complete stream. All codecs here are of bytes, of width 1."""
+    if type(size) is not int or type(width) is not int or width != 1:
+        raise CodecError("a size and the width 1 are needed")
     if not 0 <= size <= LARGEST or len(encoded) > LARGEST + SPARE:
         raise CodecError("sizes out of range")
     if codec == "raw":
@@ -47,6 +52,12 @@ def decode(encoded: bytes, codec: str, size: int) -> bytes:
     return data
 
 
+def require(codec: str) -> None:
+    """CodecError if a codec cannot be used here."""
+    if not available().get(codec):
+        raise CodecError(f"codec {codec} is not available")
+
+
 def available() -> dict[str, bool]:
     """Codecs that can be used here; external audio coders are not part of this engine."""
     return {"raw": True, "zlib": True, "lzma": True}

@@ -49,7 +49,7 @@ def restore_pcm(payload: bytes, meta: dict[str, int], width: int) -> bytes:
     """Samples of a canonical payload; the shape of both is checked first."""
     if set(meta) != {"anchor", "shift", "sign", "frames"} or any(type(v) is not int for v in meta.values()):
         raise ValueError("malformed parameters")
-    if meta["sign"] not in (1, -1) or not 0 <= meta["shift"] < 33 or not 0 <= meta["anchor"] < 1 << 8 * width or meta["frames"] < 1 or len(payload) != 4 * meta["frames"]:
+    if meta["sign"] not in (1, -1) or not 0 <= meta["shift"] < 32 or not 0 <= meta["anchor"] < 1 << 8 * width or not 1 <= meta["frames"] <= LARGEST_PIECE // width or len(payload) != 4 * meta["frames"]:
         raise ValueError("parameters out of range")
     p = np.frombuffer(payload, "<u4").astype(np.int64)
     if p[0]:
@@ -69,7 +69,7 @@ def canonical_dsd(data: bytes) -> tuple[bytes, dict[str, int]]:
 
 
 def restore_dsd(payload: bytes, meta: dict[str, int]) -> bytes:
-    if set(meta) != {"anchor"} or type(meta["anchor"]) is not int or not 0 <= meta["anchor"] < 256 or not payload or payload[0]:
+    if set(meta) != {"anchor"} or type(meta["anchor"]) is not int or not 0 <= meta["anchor"] < 256 or not 0 < len(payload) <= LARGEST_PIECE or payload[0]:
         raise ValueError("malformed payload or parameters")
     p = np.frombuffer(payload, np.uint8)
     return (np.bitwise_xor.accumulate(p) ^ np.uint8(meta["anchor"])).tobytes()

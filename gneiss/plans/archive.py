@@ -7,7 +7,7 @@ DataFrames; only the greedy hybrid policy and the final choice run on the driver
 
 from __future__ import annotations
 
-import json
+import os
 import shutil
 import tempfile
 import uuid
@@ -16,10 +16,10 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.functions import codecs, kernels
+from gneiss.functions import codecs, kernels, strictjson
 from gneiss.sources import layout
 from gneiss.sources.names import collect_sources, safe_name, validate_names
 
@@ -81,7 +81,7 @@ def cut_file(content: bytes, kind: str, average: int) -> Iterator[tuple]:
                 part, meta = kernels.canonical_pcm(part, width) if sampled == "pcm" else kernels.canonical_dsd(part)
                 if restored(part, transform, meta, width) != data[a:b]:
                     raise ArchiveError("a transform does not restore its piece")
-            yield number, role, channel, offset, ordinal, transform, json.dumps(meta, sort_keys=True, separators=(",", ":")), b - a, part
+            yield number, role, channel, offset, ordinal, transform, strictjson.dump(meta), b - a, part
 
 
 def restored(payload: bytes, transform: str, meta: dict, width: int) -> bytes:
@@ -95,14 +95,15 @@ def restored(payload: bytes, transform: str, meta: dict, width: int) -> bytes:
 
 
 def cut(files: DataFrame, average: int, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """PIECES of (file_id, content) under each kind."""
+    """PIECES of (file_id, content) under each kind, of opaque files under raw alone."""
     kernels.check_average(average)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PIECES.split(", ")]
         for b in batches:
             for i, content in zip(b["file_id"], b["content"], strict=True):
-                for kind in kinds:
+                # Opaque files have no channels to be cut by.
+                for kind in kinds if layout.probe(bytes(content)) else ("raw",):
                     rows = [(i, kind, *row) for row in cut_file(bytes(content), kind, average)]
                     yield pd.DataFrame(rows, columns=names)
 
@@ -110,11 +111,16 @@ def cut(files: DataFrame, average: int, kinds: tuple[str, ...] = KINDS) -> DataF
 
 
 def distinct_objects(pieces: DataFrame) -> DataFrame:
-    """object_id, payload, size and sha256 of each distinct payload. Rows are grouped by the payload itself, so equal hashes never merge different bytes; ids follow the first use."""
+    """first, payload, size and sha256 of each distinct payload. Rows are grouped by the payload itself, so equal hashes never merge different bytes; first is the place of the first use."""
     first = F.min(F.struct("file_id", "kind", "stream", "ordinal")).alias("first")
     objects = pieces.where("payload is not null").groupBy("payload").agg(first)
-    number = F.row_number().over(Window.orderBy("first"))  # an archive has 2 million objects at most
-    return objects.select(number.cast("long").alias("object_id"), "payload", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("sha256"))
+    return objects.select("first", "payload", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("sha256"))
+
+
+def numbered(objects: DataFrame) -> DataFrame:
+    """Objects with object_id in place of first, in its order. Only the places go through the one window, of which an archive has 2 million at most."""
+    ids = objects.select("first", F.row_number().over(Window.orderBy("first")).cast("long").alias("object_id"))
+    return objects.join(ids, "first").drop("first")
 
 
 def encoded(objects: DataFrame) -> DataFrame:
@@ -123,9 +129,9 @@ def encoded(objects: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pairs = [codecs.encode(bytes(p)) for p in b["payload"]]
-            yield pd.DataFrame({"object_id": b["object_id"], "sha256": b["sha256"], "size": b["size"], "codec": [c for c, _ in pairs], "data": [d for _, d in pairs]})
+            yield pd.DataFrame({"object_id": b["object_id"], "sha256": b["sha256"], "size": b["size"], "codec": [c for c, _ in pairs], "width": 1, "data": [d for _, d in pairs]})
 
-    out = objects.mapInPandas(kernel, "object_id long, sha256 string, size long, codec string, data binary")
+    out = objects.mapInPandas(kernel, "object_id long, sha256 string, size long, codec string, width int, data binary")
     return out.withColumn("encoded_sha256", F.sha2("data", 256))
 
 
@@ -171,8 +177,8 @@ def materialise(folder: str, files: DataFrame, uses: DataFrame, objects: DataFra
     stream = (F.col("file_id") * 32 + F.col("stream")).alias("stream_id")
     streams = own.groupBy(stream, F.col("file_id").alias("recipe_id"), "role", "channel", "offset").agg(F.sum("size").cast("long").alias("size"))
     pieces = own.where("object_id is not null").select(stream, "ordinal", "object_id", "transform", "params", "size")
-    kept = objects.join(pieces.select("object_id").distinct(), "object_id", "left_semi").select("object_id", F.substring("sha256", 1, 16).alias("bucket"), "sha256", "size", "codec", "encoded_sha256", "data")
-    settings = json.dumps({"average": average, "strategy": policy}, sort_keys=True)
+    kept = objects.join(pieces.select("object_id").distinct(), "object_id", "left_semi").select("object_id", F.substring("sha256", 1, 16).alias("bucket"), "sha256", "size", "codec", "width", "encoded_sha256", "data")
+    settings = strictjson.dump({"average": average, "strategy": policy})
     meta = spark.createDataFrame([("version", "1"), ("complete", "yes"), ("settings", settings)], "key string, value string")
     for name, table in zip(TABLES, (meta, files, recipes, streams, pieces, kept), strict=True):
         table.coalesce(8).write.parquet(f"file://{folder}/{name}")
@@ -183,16 +189,35 @@ def archive_bytes(folder: str) -> int:
     return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
 
 
-def pack(spark: SparkSession, sources: list[str], output: str, *, average: int = 65536, mode: str = "auto", allow_growth: bool = False) -> dict:
-    """Makes an archive of files and folders; the smallest of the policies if mode is auto. Nothing is kept that saves nothing, unless allow_growth."""
+def publish(folder: Path, output: str) -> None:
+    """Moves a complete folder to a name that nothing else has: the name is taken first, which fails if it exists, and what was taken is given back if the move fails."""
+    try:
+        os.mkdir(output)
+    except FileExistsError as e:
+        raise ArchiveError(f"{output} exists") from e
+    try:
+        os.rename(folder, output)
+    except OSError:
+        os.rmdir(output)
+        raise
+
+
+def state(path: str) -> tuple[str, int, int, int]:
+    """A file's path, size, time of change and inode."""
+    s = Path(path).stat()
+    return path, s.st_size, s.st_mtime_ns, s.st_ino
+
+
+def pack(spark: SparkSession, sources: list[str], output: str, *, average: int = 65536, mode: str = "auto", allow_growth: bool = False, work_dir: str | None = None) -> dict:
+    """Makes an archive of files and folders; the smallest of the policies if mode is auto. Nothing is kept that saves nothing, unless allow_growth. work_dir, by default the archive's folder, holds intermediate tables, and must be on its file system."""
     kernels.check_average(average)
     if mode not in (*POLICIES, "auto"):
         raise ArchiveError(f"unknown mode {mode}")
     if Path(output).exists():
         raise ArchiveError(f"{output} exists")
     listed = collect_sources(sources)
-    before = [(p, Path(p).stat().st_size, Path(p).stat().st_mtime_ns) for _, p in listed]
-    work = Path(tempfile.mkdtemp(prefix=".pack-", dir=Path(output).resolve().parent))
+    before = [state(p) for _, p in listed]
+    work = Path(tempfile.mkdtemp(prefix=".pack-", dir=work_dir or Path(output).resolve().parent))
     try:
         read = read_sources(spark, listed)
         describe(read).write.parquet(f"file://{work}/files")
@@ -202,11 +227,15 @@ def pack(spark: SparkSession, sources: list[str], output: str, *, average: int =
         plain = distinct_objects(pieces)
         plain.write.parquet(f"file://{work}/plain")
         plain = spark.read.parquet(f"file://{work}/plain")
+        plain = numbered(plain)
+        if not plain.groupBy("sha256", "size").count().where("count > 1").isEmpty():
+            raise ArchiveError("two objects have one SHA-256")
         encoded(plain).write.parquet(f"file://{work}/encoded")
         objects = spark.read.parquet(f"file://{work}/encoded")
-        pieces.join(plain.select("object_id", "payload"), "payload", "left").drop("payload").write.parquet(f"file://{work}/uses")
+        keyed = pieces.withColumn("sha256", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload").cast("long")).drop("payload")
+        keyed.join(objects.select("object_id", "sha256", F.col("size").alias("length")), ["sha256", "length"], "left").drop("sha256", "length").write.parquet(f"file://{work}/uses")
         uses = spark.read.parquet(f"file://{work}/uses")
-        if before != [(p, Path(p).stat().st_size, Path(p).stat().st_mtime_ns) for p, _, _ in before]:
+        if before != [state(p) for _, p in listed]:
             raise ArchiveError("a source changed while it was read")
         sizes = {p: materialise(str(work / "policies" / p), files, uses, objects, select_recipes(uses, objects, p), p, average) for p in (POLICIES if mode == "auto" else (mode,))}
         best = min(sizes, key=lambda p: (sizes[p], POLICIES.index(p)))
@@ -215,9 +244,7 @@ def pack(spark: SparkSession, sources: list[str], output: str, *, average: int =
         report |= inspect_archive(spark, str(work / "policies" / best)) | {"candidate_bytes": sizes, "net_saving_bytes": saving, "net_saving_percent": round(100 * saving / report["original_bytes"], 3) if report["original_bytes"] else None, "average": average}
         if saving <= 0 and not allow_growth:
             return report | {"content_verified": True, "status": "skipped_no_net_savings"}
-        if Path(output).exists():
-            raise ArchiveError(f"{output} exists")
-        (work / "policies" / best).rename(output)
+        publish(work / "policies" / best, output)
         return report | {"content_verified": True, "status": "created", "archive": output}
     finally:
         shutil.rmtree(work, ignore_errors=True)
@@ -251,11 +278,11 @@ def restore(tables: dict[str, DataFrame]) -> DataFrame:
 
     def build(own: pd.DataFrame) -> pd.DataFrame:
         one = own.iloc[0]
-        info = json.loads(one["info"]) if one["info"] else None
+        info = strictjson.load(one["info"]) if one["info"] else None
         out = np.zeros(int(one["file_size"]), np.uint8)
         for _, stream in own.sort_values(["stream_id", "ordinal"]).groupby("stream_id"):
             head = stream.iloc[0]
-            parts = [restored(bytes(p), t, json.loads(m), info["width"] if info else 1) for p, t, m in zip(stream["payload"], stream["transform"], stream["params"], strict=True) if p is not None]
+            parts = [restored(bytes(p), t, strictjson.load(m), info["width"] if info else 1) for p, t, m in zip(stream["payload"], stream["transform"], stream["params"], strict=True) if p is not None]
             data = b"".join(parts)
             if head["role"] == "raw":
                 out[int(head["offset"]) : int(head["offset"]) + len(data)] = np.frombuffer(data, np.uint8)
@@ -281,7 +308,7 @@ def verify(spark: SparkSession, archive: str, compare_sources: dict[str, str] |
     else:
         back.agg(F.sum(F.octet_length("content"))).collect()
     total = tables["files"].agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    settings = json.loads(tables["meta"].where("key = 'settings'").first()["value"])
+    settings = strictjson.load(tables["meta"].where("key = 'settings'").first()["value"])
     return {"verified": True, "files": total["n"], "original_bytes": total["size"], "archive_bytes": archive_bytes(archive), "strategy": settings["strategy"], "objects": tables["objects"].count(), "pieces": tables["pieces"].count()}
 
 
@@ -291,11 +318,11 @@ def inspect_archive(spark: SparkSession, archive: str) -> dict:
     count = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()}
     objects, pieces = t["objects"].count(), t["pieces"].count()
     files = [{"path": r["path"], "size": r["size"], "sha256": r["sha256"], "format": r["info"]["container"] if r["info"] else "opaque"} for r in t["files"].orderBy("file_id").collect()]
-    return {"format": "gneiss archive 1", "structural_checks_passed": True, "content_verified": False, "archive_bytes": archive_bytes(archive), "original_bytes": sum(f["size"] for f in files), "strategy": json.loads(t["meta"].where("key = 'settings'").first()["value"])["strategy"], "objects": objects, "pieces": pieces, "references_reused": pieces - objects, "codecs": count(t["objects"], "codec"), "selected_recipes": count(t["recipes"], "kind"), "files_list": files}
+    return {"format": "gneiss archive 1", "structural_checks_passed": True, "content_verified": False, "archive_bytes": archive_bytes(archive), "original_bytes": sum(f["size"] for f in files), "strategy": strictjson.load(t["meta"].where("key = 'settings'").first()["value"])["strategy"], "objects": objects, "pieces": pieces, "references_reused": pieces - objects, "codecs": count(t["objects"], "codec"), "selected_recipes": count(t["recipes"], "kind"), "files_list": files}
 
 
 def unpack(spark: SparkSession, archive: str, output: str) -> dict:
-    """Writes all files to a new folder, which appears only when it is complete."""
+    """Writes all files, from the executors, to a new folder, which appears only when it is complete; the folder's file system must be one that they share."""
     if Path(output).exists():
         raise ArchiveError(f"{output} exists")
     tables = open_archive(spark, archive)
@@ -306,11 +333,18 @@ def unpack(spark: SparkSession, archive: str, output: str) -> dict:
     stage = parent / f".unpack-{uuid.uuid4().hex}"
     stage.mkdir()
     try:
-        for r in restore(tables).toLocalIterator():
-            safe_name(r["path"])
-            (stage / r["path"]).parent.mkdir(parents=True, exist_ok=True)
-            (stage / r["path"]).write_bytes(r["content"])
-        stage.rename(output)
+
+        def write(rows: Iterator[Row]) -> None:
+            for r in rows:
+                safe_name(r["path"])
+                place = stage / r["path"]
+                place.parent.mkdir(parents=True, exist_ok=True)
+                part = place.with_name(f".{uuid.uuid4().hex}")
+                part.write_bytes(r["content"])
+                part.rename(place)  # a task that runs again replaces what it wrote before
+
+        restore(tables).foreachPartition(write)
+        publish(stage, output)
     except BaseException:
         shutil.rmtree(stage, ignore_errors=True)
         raise

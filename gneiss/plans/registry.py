@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import codecs, kernels
 from gneiss.operators import streams
+from gneiss.plans import archive, constraints
+from gneiss.sources import layout
 from gneiss.sources.names import is_safe
 
 AVERAGE = 1 << 14
@@ -160,28 +162,58 @@ def semi_objects(spark, sf):
 
 
 def anti_objects(spark, sf):
-    return _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Parts that no large line has."""
+    lines = _t(spark, sf, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"))
+    return constraints.unreferenced(_t(spark, sf, "part"), lines, "p_partkey").select("p_partkey", "p_brand")
 
 
 def orphans(spark, sf):
-    return _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    """Documents without a label, by source."""
+    return constraints.unreferenced(_t(spark, sf, "documents"), _t(spark, sf, "labels"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _uses(spark, sf) -> DataFrame:
+    """Orders as files, return flags as kinds, suppliers as streams, parts as objects."""
+    kind = F.when(F.col("l_returnflag") == "A", "semantic").when(F.col("l_returnflag") == "R", "native").otherwise("raw")
+    return _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"), kind.alias("kind"), F.col("l_suppkey").alias("stream"), F.col("l_partkey").alias("object_id"), F.col("l_linestatus").alias("params"))
+
+
+def _objects(spark, sf) -> DataFrame:
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("object_id"), F.encode("p_name", "UTF-8").alias("data"))
 
 
 def recipe_cost(spark, sf):
-    """Of orders as recipes and parts as objects, less the parts that supplier 1 has already."""
-    lines = _t(spark, sf, "lineitem")
-    have = lines.where("l_suppkey = 1").select("l_partkey").distinct()
-    new = lines.select("l_orderkey", "l_partkey").distinct().join(have, "l_partkey", "left_anti").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    stored = new.groupBy("l_orderkey").agg(F.sum(F.col("p_size").cast("long") + 112).alias("stored"))
-    rows = lines.groupBy("l_orderkey").agg(F.sum(112 + F.length("l_returnflag")).alias("rows"), (F.countDistinct("l_suppkey") * 96).alias("streams"))
-    return rows.join(stored, "l_orderkey", "left").select("l_orderkey", (F.coalesce("stored", F.lit(0)) + F.col("rows") + F.col("streams")).cast("long").alias("cost"))
+    """Cost of each kind of each order, less the parts that supplier 1 has already."""
+    chosen = _t(spark, sf, "lineitem").where("l_suppkey = 1").select(F.col("l_partkey").alias("object_id")).distinct()
+    return archive.recipe_costs(_uses(spark, sf), _objects(spark, sf), chosen)
 
 
 def select_fixed(spark, sf):
-    """The status that a policy asks for where a customer has it, else the smallest."""
-    kinds = _t(spark, sf, "orders").select("o_custkey", "o_orderstatus").distinct()
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.when(F.col("o_orderstatus") == "O", 0).otherwise(1), "o_orderstatus"))
-    return kinds.withColumn("rank", rank).where("rank = 1").select("o_custkey", F.col("o_orderstatus").alias("kind"))
+    """The kind that each policy chooses for each order: its own, else raw."""
+    uses, objects = _uses(spark, sf), _objects(spark, sf)
+    one = lambda p: archive.select_recipes(uses, objects, p).withColumn("policy", F.lit(p))
+    return one("raw").unionByName(one("native")).unionByName(one("semantic"))
+
+
+def select_hybrid(spark, sf):
+    """The kind that the hybrid policy takes for the first orders, file by file."""
+    return archive.select_recipes(_uses(spark, sf).where("file_id <= 300"), _objects(spark, sf), "hybrid")
+
+
+def raw_spans(spark, sf):
+    """Bytes that no channel owns, of files of one-bit samples in blocks whose sizes are the documents'."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, n in zip(b["doc_id"], b["n"], strict=True):
+                c = 1 + int(i) % 6
+                info = dict(zip(layout.KEYS, ("dsf", "dsd", c, 2822400, 8 * int(n), 1, 1, 92, -(-int(n) // layout.BLOCK) * layout.BLOCK * c, layout.BLOCK, "lsb"), strict=True))
+                rows += [(i, a, k) for a, k in layout.raw_spans(info, 92 + info["data_size"] + int(i) % 3)]
+            yield pd.DataFrame(rows, columns=["doc_id", "first", "length"])
+
+    sizes = _t(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n")).where("n > 0")
+    return sizes.mapInPandas(kernel, "doc_id long, first long, length long")
 
 
 def codec_best(spark, sf):
@@ -197,21 +229,20 @@ def codec_best(spark, sf):
 
 
 def ordinals_contiguous(spark, sf):
-    """Conversations whose turns are not numbered without a gap from the first."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = _t(spark, sf, "conversations").withColumn("due", F.row_number().over(w) - 1 + F.min("turn").over(Window.partitionBy("conv_id")))
-    return t.where("turn <> due").groupBy("conv_id").agg(F.count(F.lit(1)).alias("wrong"))
+    """Orders whose lines are not numbered from 1 without a gap or repeat, and how many are not."""
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("ordinal"))
+    return constraints.misnumbered(lines, "l_orderkey", "ordinal").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("wrong"))
 
 
 def one_recipe_each(spark, sf):
-    return _t(spark, sf, "customer").join(_t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), F.col("c_custkey") == F.col("o_custkey"), "left").where("coalesce(n, 0) <> 1").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+    orders = _t(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return constraints.not_one_each(_t(spark, sf, "customer"), orders, "c_custkey")
 
 
 def multiset_difference(spark, sf):
-    """Expected streams (order, line) against those there, both ways."""
-    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    expected = lines.distinct()
-    return lines.exceptAll(expected).withColumn("side", F.lit("more")).unionByName(expected.exceptAll(lines).withColumn("side", F.lit("less"))).groupBy("l_orderkey", "l_linenumber", "side").agg(F.count(F.lit(1)).alias("n"))
+    """Lines that should be there, numbered 1 to 4 in each order, against those that are: n above 0 are missing, below 0 too many."""
+    due = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("l_linenumber"))
+    return constraints.multiset_difference(due, _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
 def inspect_summary(spark, sf):
@@ -219,7 +250,7 @@ def inspect_summary(spark, sf):
     return d.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("text").alias("objects"), F.sum(F.octet_length("text")).cast("long").alias("bytes")).withColumn("references_reused", F.col("pieces") - F.col("objects"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (scan_inventory, exact_objects, name_checks, deinterleave, raw_spans_gaps, pcm_delta, pcm_shift_sign, pcm_restore, affine_invariance, dsd_xor, dsd_restore, dsd_complement_invariance, fixed_frame_chunks, dedup_reuse, cdc_chunks, gear_candidates, restore_roundtrip, semi_objects, anti_objects, orphans, recipe_cost, select_fixed, codec_best, ordinals_contiguous, one_recipe_each, multiset_difference, inspect_summary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (scan_inventory, exact_objects, name_checks, deinterleave, raw_spans_gaps, pcm_delta, pcm_shift_sign, pcm_restore, affine_invariance, dsd_xor, dsd_restore, dsd_complement_invariance, fixed_frame_chunks, dedup_reuse, cdc_chunks, gear_candidates, restore_roundtrip, semi_objects, anti_objects, orphans, recipe_cost, select_fixed, select_hybrid, raw_spans, codec_best, ordinals_contiguous, one_recipe_each, multiset_difference, inspect_summary)}
 FLAGSHIP = "dedup_reuse"
 
 _LOW = "(CASE WHEN every = 0 THEN 0 ELSE bit_count((every & -every) - 1) END)"
@@ -251,7 +282,23 @@ def _chunks(cte: str, group: str, frames: int) -> str:
     ch AS (SELECT {group}, chunk, count(*) AS n, string_agg(CAST(d AS VARCHAR), ',' ORDER BY i) AS payload FROM cd GROUP BY {group}, chunk)"""
 
 
+_USES = "u AS (SELECT l_orderkey AS file_id, CASE l_returnflag WHEN 'A' THEN 'semantic' WHEN 'R' THEN 'native' ELSE 'raw' END AS kind, l_suppkey AS stream, l_partkey AS object_id, l_linestatus AS params FROM lineitem)"
 ORACLES: dict[str, str] = {
+    "raw_spans": """WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n, 1 + doc_id % 6 AS c, doc_id % 3 AS tail FROM documents WHERE text <> ''),
+    e AS (SELECT *, 92 + (n + 4095) // 4096 * 4096 * c AS stop, n % 4096 AS used FROM d),
+    p AS (SELECT doc_id, stop - (c - unnest(range(c))) * 4096 + used AS first, 4096 - used AS length, stop, tail FROM e WHERE used > 0),
+    a AS (SELECT doc_id, 0 AS first, 92 AS length FROM e UNION ALL SELECT doc_id, first, length + CASE WHEN first + length = stop THEN tail ELSE 0 END FROM p UNION ALL SELECT doc_id, stop, tail FROM e WHERE used = 0 AND tail > 0)
+    SELECT doc_id, CAST(first AS BIGINT) AS first, CAST(length AS BIGINT) AS length FROM a""",
+    "cdc_chunks": f"""WITH RECURSIVE g AS (SELECT t, CAST('0x' || substr(sha256('gear:' || t), 13, 4) AS BIGINT) & 16383 AS g FROM range(256) r(t)),
+    d AS (SELECT source, doc_id // 2000 AS part, regexp_extract_all(hex(encode(string_agg(text, '' ORDER BY doc_id))), '..') AS parts FROM documents GROUP BY ALL),
+    y AS (SELECT source, part, unnest(parts) AS x, generate_subscripts(parts, 1) AS place FROM d),
+    v AS (SELECT source, part, place, g FROM y JOIN g ON t = CAST('0x' || x AS BIGINT)),
+    w AS (SELECT source, part, place, {" + ".join(f"coalesce(lag(g, {j}) OVER z, 0) * {1 << j}" for j in range(14))} AS s FROM v WINDOW z AS (PARTITION BY source, part ORDER BY place)),
+    k AS (SELECT source, part, list(place ORDER BY place) AS ends FROM w WHERE s & 16383 = 0 GROUP BY ALL),
+    n AS (SELECT source, part, len(parts) AS size, coalesce(ends, []) AS ends FROM d LEFT JOIN k USING (source, part)),
+    c AS (SELECT source, part, size, ends, -1::BIGINT AS ordinal, 0::BIGINT AS first, 0::BIGINT AS stop FROM n UNION ALL
+    SELECT source, part, size, ends, ordinal + 1, stop, least(size, stop + 65536, coalesce(list_min(list_filter(ends, lambda e: e >= stop + 8192)), size)) FROM c WHERE stop < size)
+    SELECT source, part, ordinal, first AS offset, stop - first AS size, sha256(unhex(array_to_string(parts[first + 1:stop], ''))) AS sha256 FROM c JOIN d USING (source, part) WHERE ordinal >= 0""",
     "scan_inventory": "SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM documents",
     "exact_objects": "SELECT min(doc_id) AS first_id, count(*) AS refs, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents GROUP BY text",
     "name_checks": f"SELECT page_id, {_safe('url')} AS safe, {_safe('path')} AS safe_path FROM (SELECT *, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)",
@@ -277,15 +324,15 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, place FROM w WHERE s & 1023 = 0""",
     "restore_roundtrip": "SELECT doc_id, sha256(text) AS sha256, length(text) // 1000 + 1 AS pieces FROM documents",
     "semi_objects": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY o_orderstatus",
-    "anti_objects": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "orphans": "SELECT l_orderkey, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL GROUP BY l_orderkey",
-    "recipe_cost": """WITH have AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 1),
-    stored AS (SELECT l_orderkey, sum(CAST(p_size AS BIGINT) + 112) AS stored FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM have)) JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
-    r AS (SELECT l_orderkey, sum(112 + length(l_returnflag)) AS rows, count(DISTINCT l_suppkey) * 96 AS streams FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey, CAST(coalesce(stored, 0) + rows + streams AS BIGINT) AS cost FROM r LEFT JOIN stored USING (l_orderkey)""",
-    "select_fixed": "SELECT o_custkey, CASE WHEN max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) = 1 THEN 'O' ELSE min(o_orderstatus) END AS kind FROM orders GROUP BY o_custkey",
-    "ordinals_contiguous": "WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + min(turn) OVER (PARTITION BY conv_id) AS due FROM conversations) SELECT conv_id, count(*) AS wrong FROM t WHERE turn <> due GROUP BY conv_id",
+    "anti_objects": "SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 48)",
+    "orphans": "SELECT source, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE labels.doc_id IS NULL GROUP BY source",
+    "recipe_cost": f"""WITH {_USES},
+    stored AS (SELECT file_id, kind, sum(octet_length(encode(p_name)) + 112) AS stored FROM (SELECT DISTINCT file_id, kind, object_id FROM u WHERE object_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1)) JOIN part ON object_id = p_partkey GROUP BY ALL),
+    r AS (SELECT file_id, kind, sum(112 + octet_length(encode(params))) AS rows, count(DISTINCT stream) * 96 AS streams FROM u GROUP BY ALL)
+    SELECT file_id, kind, CAST(coalesce(stored, 0) + rows + streams AS BIGINT) AS cost FROM r LEFT JOIN stored USING (file_id, kind)""",
+    "select_fixed": f"WITH {_USES}, p AS (SELECT unnest(['raw', 'native', 'semantic']) AS policy) SELECT DISTINCT file_id, policy, CASE WHEN bool_or(kind = policy) OVER (PARTITION BY file_id, policy) THEN policy ELSE 'raw' END AS kind FROM u, p WHERE kind IN (policy, 'raw')",
+    "ordinals_contiguous": "WITH t AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS due FROM lineitem) SELECT l_orderkey, count(*) AS wrong FROM t WHERE l_linenumber <> due GROUP BY l_orderkey",
     "one_recipe_each": "SELECT c_custkey, count(o_custkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey HAVING count(o_custkey) <> 1",
-    "multiset_difference": "SELECT l_orderkey, l_linenumber, 'more' AS side, count(*) - 1 AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "multiset_difference": "WITH e AS (SELECT o_orderkey AS l_orderkey, CAST(unnest(range(1, 5)) AS INT) AS l_linenumber FROM orders), x AS (SELECT *, 1 AS n FROM e UNION ALL SELECT l_orderkey, l_linenumber, -1 FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY ALL HAVING sum(n) <> 0",
     "inspect_summary": "SELECT source, CASE WHEN octet_length(encode(text)) = length(text) THEN 'ascii' ELSE 'wide' END AS kind, count(*) AS pieces, count(DISTINCT text) AS objects, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) - count(DISTINCT text) AS references_reused FROM documents GROUP BY ALL",
 }

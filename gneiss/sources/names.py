@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MOST_LENGTH, MOST_DEPTH = 220, 16
+#: The longest and deepest name, and the most files and bytes that are taken.
+MOST_LENGTH, MOST_DEPTH, MOST_FILES, MOST_BYTES = 220, 16, 10_000, 64 << 40
 #: Names that a system reserves for devices.
 DEVICES = {"CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in "123456789¹²³")}
 
@@ -26,6 +27,17 @@ def safe_name(name: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", name).casefold())
 
 
+def local_component(value: str, label: str) -> str:
+    """The value, if it is one part of a safe name; ValueError, with the label, if not."""
+    if not isinstance(value, str) or "/" in value:
+        raise ValueError(f"{label}: not one part of a name")
+    try:
+        safe_name(value)
+    except ValueError as e:
+        raise ValueError(f"{label}: {e}") from e
+    return value
+
+
 def validate_names(names: list[str]) -> None:
     """ValueError if two names are the same to some system, or one is a folder of another."""
     seen = [safe_name(n) for n in names]
@@ -66,7 +78,7 @@ def collect_sources(sources: list[str]) -> list[tuple[str, str]]:
                     raise ValueError(f"not a regular file: {p}")
         else:
             raise ValueError(f"no such file or folder: {source}")
-    if not found or len(found) > 10_000:
-        raise ValueError("1 to 10000 files are needed")
+    if not 0 < len(found) <= MOST_FILES or sum(Path(p).stat().st_size for _, p in found) > MOST_BYTES:
+        raise ValueError("1 to 10000 files of 64 TiB at most are needed")
     validate_names([n for n, _ in found])
     return sorted(found)
