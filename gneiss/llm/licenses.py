@@ -1,12 +1,12 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a text, or a run of words across lines, as notices are wrapped) matches a template if it holds at least `threshold` of the template's words, as sets. Words
-are ordered by how often the corpus has them, rarest first. A block can only match if it has one of the template's
-prefix, its |T| - overlap + 1 rarest words (prefix filter), if it has at least `overlap` distinct words (length
-filter), and if, counted from the place of the first shared prefix word, the template has enough words left (positional
-filter). Blocks that pass are compared in full. Runs have as many words as the template divided by the threshold, so
-that it makes up that share of them too; those near a prefix word pass the same filters before they are compared one by
-one. DataFrame functions only.
+A template's blocks are all runs of a text's words that are as long as the template divided by `threshold`, wherever
+lines end; a block matches if it holds at least `threshold` of the template's distinct words. So neither a block that is
+too short (length filter) nor one that is too long for the template counts. Words are ordered by how many texts of the
+corpus have them, rarest first. A block can only match if it has one of the template's prefix, its |T| - overlap + 1
+rarest words (prefix filter), and if, counted from the place of the first of these that it has, the template has enough
+words left (positional filter). Only the words around prefix words are looked at, against the templates whose prefix they
+share; blocks that pass are compared in full. The templates are one constant array. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ TEMPLATES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
 }
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LINE = r"[\r\n]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,37 +53,32 @@ def _words_before(text: Column) -> Column:
     return F.greatest(_spaces(text), F.lit(0))
 
 
-def word_counts(lines: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How many blocks of the corpus have each word of the vocabulary; at most as many rows as that has come to the driver."""
+def word_counts(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """How many texts of the corpus (normal) have each word of the vocabulary; at most as many rows as that has come to the driver."""
     known = F.array(*[F.lit(w) for w in vocabulary])
-    rows = lines.where(F.arrays_overlap("words", known)).select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect()
+    rows = texts.select(F.explode(F.array_intersect(known, F.split("normal", " "))).alias("word")).groupBy("word").count().collect()
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
 
 
-def candidates(words: Column, templates: list[tuple[str, list[str], int]]) -> Column:
-    """Array of (label, containment) of the templates that the block's words hold enough of."""
-    found = []
-    for label, ordered, overlap in templates:
-        prefix = ordered[: len(ordered) - overlap + 1]
-        have = F.array(*[F.lit(w) for w in ordered])
-        # Positional filter: words of the template from the first prefix word that the block has.
-        left = F.coalesce(*[F.when(F.array_contains(words, w), F.lit(len(ordered) - i)) for i, w in enumerate(prefix)], F.lit(0))
-        share = F.when((F.size(words) >= overlap) & (left >= overlap), F.size(F.array_intersect(have, words)))
-        found.append(F.when(share >= overlap, F.struct(F.lit(label).alias("label"), (share / float(len(ordered))).alias("share"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-
-def wrapped(near: Column, templates: list[tuple[str, list[str], int]], widths: list[int]) -> Column:
-    """Like candidates(), of the words near a prefix word: the largest containment in any run of a template's width."""
-    found = []
-    for one, width in zip(templates, widths, strict=True):
-        label, ordered, overlap = one
-        have = F.array(*[F.lit(w) for w in ordered])
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(near) - width + 1))
-        held = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(have, F.slice(near, i, width)))))  # noqa: B023
-        share = F.when(F.size(candidates(near, [one])) > 0, held)
-        found.append(F.when(share >= overlap, F.struct(F.lit(label).alias("label"), (share / float(len(ordered))).alias("share"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+def template_array(ordered: list[tuple[str, list[str], int, int]]) -> Column:
+    """Constant array of the templates: label, words (rarest first), prefix, least (words that a block must hold) and width (words in a block)."""
+    texts = lambda words: F.array(*[F.lit(w) for w in words])
+    return F.array(*[F.struct(F.lit(label).alias("label"), texts(words).alias("words"), texts(words[: len(words) - least + 1]).alias("prefix"), F.lit(least).alias("least"), F.lit(width).alias("width")) for label, words, least, width in ordered])
+
+
+def matched(near: Column, templates: Column) -> Column:
+    """Array of (label, share): of each template that a block among these words matches, the largest share that one holds."""
+
+    def likely(t: Column) -> Column:
+        first = F.array_position(F.transform(t["words"], lambda w: F.array_contains(near, w)), True)
+        return (F.size(near) >= t["least"]) & F.arrays_overlap(t["prefix"], near) & (F.size(t["words"]) - first + 1 >= t["least"])
+
+    def share(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(near) - t["width"] + 1))
+        held = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(t["words"], F.slice(near, i, t["width"])))))
+        return F.struct(t["label"].alias("label"), F.when(held >= t["least"], held / F.size(t["words"]).cast("double")).alias("share"))
+
+    return F.filter(F.transform(F.filter(templates, likely), share), lambda x: x["share"].isNotNull())
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -92,24 +86,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Lower case is of A-Z only; words are runs of anything but ASCII other than letters and digits. n_base counts the
     places where a phrase's words stand consecutively; first_word and last_word are the smallest and largest of their
-    starts, or null. labels adds those of templates that a line, or a run across lines of the template's number of words
-    divided by `threshold`, holds at least `threshold` of. score is 1 with a phrase, else the largest share that a matched
-    block holds of its template, else 0. blocks: (label, share) of the matches, those across lines distinct.
+    starts, or null. labels adds those of templates that a block of their number of words divided by `threshold`, any run
+    of the text's words, holds at least `threshold` of. score is 1 with a phrase, else the largest share that a matched
+    block holds of its template, else 0. blocks: distinct (label, share) of the matches.
     Null and empty texts have no words. Ids are carried along, null or repeated; other columns are not looked at.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
-    sets = [(label, sorted(set(t.split()))) for t, label in sorted(templates.items())]
-    widths = [math.floor(len(t.split()) / threshold + 1e-9) for t, _ in sorted(templates.items())]
-    texts = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("text"))
-    vocabulary = sorted({w for _, s in sets for w in s})
-    line = F.explode(F.split("text", LINE))
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace("line", GAP, " ")), " "))
-    counts = word_counts(texts.select(line.alias("line")).select(words.alias("words")), vocabulary)
-    ordered = [(label, sorted(s, key=lambda w: (counts[w], w)), math.ceil(threshold * len(s) - 1e-9)) for label, s in sets]
-    rare = sorted({w for _, s, overlap in ordered for w in s[: len(s) - overlap + 1]})
-    least = min(overlap for _, _, overlap in ordered)
-
-    out = texts.withColumn("normal", normal(F.col("text"))).withColumn("n_words", F.when(F.col("normal") == "  ", 0).otherwise(_spaces(F.col("normal")) - 1).cast("long"))
+    sets = [(label, sorted(set(t.split())), math.floor(len(t.split()) / threshold + 1e-9)) for t, label in sorted(templates.items())]
+    texts = docs.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("normal"))
+    counts = word_counts(texts, sorted({w for _, s, _ in sets for w in s}))
+    ordered = [(label, sorted(s, key=lambda w: (counts[w], w)), math.ceil(threshold * len(s) - 1e-9), width) for label, s, width in sets]
+    rare = sorted({w for _, s, least, _ in ordered for w in s[: len(s) - least + 1]})
+
+    out = texts.withColumn("n_words", F.when(F.col("normal") == "  ", 0).otherwise(_spaces(F.col("normal")) - 1).cast("long"))
     n = sum((F.regexp_count("normal", F.lit(f" {p}(?= )")) for p in phrases), F.lit(0))
     firsts = [F.when(F.locate(f" {p} ", F.col("normal")) > 0, _words_before(F.expr(f"substring(normal, 1, locate(' {p} ', normal) - 1)"))) for p in phrases]
     lasts = [F.when(F.locate(f" {p} ", F.col("normal")) > 0, F.col("n_words") - _spaces(F.expr(f"substring_index(normal, ' {p} ', -1)")) - len(p.split())) for p in phrases]
@@ -118,21 +107,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def some(columns: list[Column], pick: str) -> Column:
         return getattr(F, pick)(F.array(*columns)).cast("long")
 
-    # Lines that have a prefix word, and with it the few that can match, are all that is split into words.
-    lines = F.split("text", LINE)
-    likely = F.filter(lines, lambda x: x.rlike("(^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(" + "|".join(rare) + ")([\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]|$)"))
-    blocks = F.transform("likely", lambda x: F.array_distinct(F.split(F.trim(F.regexp_replace(x, GAP, " ")), " ")))
-    blocks = F.filter(blocks, lambda w: F.size(w) >= least)
-    out = out.withColumn("likely", likely).withColumn("lines", F.size(lines))
-    # Texts of several lines that have a prefix word: what stands around each, as far as a run reaches.
-    reach = max(widths) - 1
-    several = (F.col("lines") > 1) & (F.size("likely") > 0)
-    out = out.withColumn("all", F.when(several, F.split(F.trim("normal"), " ")).otherwise(F.array().cast("array<string>")))
+    # Only texts that have a prefix word are split into words; what stands around each, as far as a block reaches, is looked at.
+    reach = max(width for *_, width in ordered) - 1
+    every = F.when(F.col("normal").rlike(f" (?:{'|'.join(rare)}) "), F.split(F.trim("normal"), " ")).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("all", every)
     places = F.filter(F.transform("all", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
     near = F.transform(places, lambda i: F.slice("all", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1))
-    across = F.array_distinct(F.flatten(F.transform(near, lambda w: wrapped(w, ordered, widths))))
-    out = out.withColumn("blocks", F.concat(F.flatten(F.transform(blocks, lambda w: candidates(w, ordered))), across))
+    constant = template_array(ordered)
+    out = out.withColumn("blocks", F.array_distinct(F.flatten(F.transform(near, lambda w: matched(w, constant)))))
     out = out.withColumn("base", base).withColumn("n_base", n.cast("long"))
-    every = F.array_sort(F.array_distinct(F.concat("base", F.col("blocks.label"))))
+    every = F.array_sort(F.array_union("base", F.col("blocks.label")))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("blocks.share")), F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", some(firsts, "array_min").alias("first_word"), some(lasts, "array_max").alias("last_word"), F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"), "blocks")

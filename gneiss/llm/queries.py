@@ -97,7 +97,7 @@ def _values(rows: list[tuple]) -> str:
 
 
 _PHRASES = _values([(len(p.split()), p, label) for p, label in PHRASES.items()])
-_TEMPLATES = _values([(label, sorted(set(t.split())), math.ceil(0.8 * len(set(t.split())) - 1e-9)) for t, label in TEMPLATES.items()])
+_TEMPLATES = _values([(label, sorted(set(t.split())), math.ceil(0.8 * len(set(t.split())) - 1e-9), math.floor(len(t.split()) / 0.8 + 1e-9)) for t, label in TEMPLATES.items()])
 _LONGEST = max(len(p.split()) for p in PHRASES)
 
 
@@ -177,14 +177,14 @@ ORACLES: dict[str, str] = {
     e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w),
     r AS (SELECT doc_id, i, [word{"".join(f", lead(word, {k}) OVER z" for k in range(1, _LONGEST))}] AS run FROM e WINDOW z AS (PARTITION BY doc_id ORDER BY i)),
     p AS (SELECT doc_id, i, label FROM r JOIN (VALUES {_PHRASES}) AS v(n, phrase, label) ON array_to_string(run[1:n], ' ') = phrase),
-    t(label, ws, least) AS (VALUES {_TEMPLATES}),
-    l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {_ALNUM})) AS ws FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM d)),
-    m AS (SELECT doc_id, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share FROM l JOIN t ON len(list_intersect(l.ws, t.ws)) >= least),
+    t(label, ws, least, width) AS (VALUES {_TEMPLATES}),
+    h AS (SELECT doc_id, i, word, label, ws, least, width FROM e JOIN (SELECT *, unnest(ws) AS word FROM t) USING (word)),
+    m AS (SELECT x.doc_id, x.label, count(DISTINCT y.word) / len(x.ws) AS share FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.ws = y.ws AND y.i BETWEEN x.i AND x.i + x.width - 1 GROUP BY x.doc_id, x.label, x.ws, x.i, x.least HAVING count(DISTINCT y.word) >= x.least),
     b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
     x AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM m) GROUP BY doc_id),
-    h AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+    z AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
     SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-    CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score FROM w LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN h USING (doc_id)""",
+    CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score FROM w LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)""",
     "op8_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} AS ws FROM documents),
     s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0)),
     n AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS own FROM s GROUP BY doc_id),

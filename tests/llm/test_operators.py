@@ -16,7 +16,7 @@ from gneiss.llm import pii
 from gneiss.llm.decontaminate import contamination
 from gneiss.llm.exact_dedup import drop_exact_copies, exact_groups
 from gneiss.llm.kneser_ney import discounts, perplexity
-from gneiss.llm.licenses import PHRASES, license_scan
+from gneiss.llm.licenses import PHRASES, TEMPLATES, license_scan
 from gneiss.llm.minhash import near_groups
 from gneiss.llm.mixing import mix, quotas
 from gneiss.llm.pii import pseudonymised
@@ -157,6 +157,34 @@ def test_near_dedup_of_an_id_with_two_texts(spark):
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
 
 
+def template_shares(w):
+    """Largest share by label that a run of words holds of a template, where it is 0.8 or more."""
+    out = {}
+    for t, label in TEMPLATES.items():
+        t = t.split()
+        n = max((len(set(t) & set(w[j : j + int(len(t) / 0.8 + 1e-9)])) for j in range(len(w))), default=0)
+        if n >= 0.8 * len(set(t)) - 1e-9:
+            out[label] = max(out.get(label, 0), n / len(set(t)))
+    return out
+
+
+def test_licenses_against_all_runs(spark):
+    rng = random.Random(12)
+    own = sorted({w for t in TEMPLATES for w in t.split()})
+    rows = [(1, "the company released figures under pressure and kept its driving license for the year"), (2, "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software")]
+    for i in range(150):
+        t = rng.choice(list(TEMPLATES)).split()
+        kept = [w for w in t if rng.random() < 0.9]
+        for _ in range(rng.randint(0, 4)):
+            kept.insert(rng.randint(0, len(kept)), rng.choice(["x", "y", *own]))
+        rows.append((i + 10, " ".join([rng.choice(own) for _ in range(rng.randint(0, 9))] + kept + ["z"] * rng.randint(0, 40))))
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={"no such phrase": "none"}).collect()}
+    assert got[1]["labels"] == "" and got[2]["labels"] == "mit"
+    for i, text in rows:
+        shares = template_shares(re.findall("[a-z0-9]+", text.lower()))
+        assert got[i]["labels"] == ",".join(sorted(shares)) and got[i]["score"] == max(shares.values(), default=0.0)
+
+
 def test_licenses(docs, none):
     got = {(r["doc_id"]): r for r in license_scan(docs).collect()}
     for i, text, *_ in corpus():
@@ -165,7 +193,9 @@ def test_licenses(docs, none):
         r = got[i]
         assert (r["n_words"], r["n_base"]) == (len(w), len(places))
         assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
-        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+        shares = template_shares(w)
+        assert r["labels"] == ",".join(sorted({x for _, x in places} | shares.keys())) and r["score"] == (1.0 if places else max(shares.values(), default=0.0))
     assert license_scan(none).count() == 0
 
 
