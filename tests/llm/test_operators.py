@@ -317,6 +317,47 @@ def test_pii_more_entities_than_short_surrogates(spark, monkeypatch):
     assert all(re.fullmatch(r"Mr [A-Z](a|er)(ba|der){3,}", x) for x in new[:48]) and all(re.fullmatch(r"\d[a-z]*@\d\.de", x) for x in new[48:148]) and all(re.fullmatch(r"\+99 \d \d\d+", x) for x in new[148:])
 
 
+def test_pii_names(spark):
+    rows = [
+        (1, "Mrs Clark paid. Later Clark left, with Clark's bag. Mr Clark came. Mrs Anna Clark too"),
+        (2, "Anna Clark and Alice Clark met Mr. O'Neil; O'Neil's friend, my name is Tuva Kvist, and Kvist was glad."),
+        (3, "Клара: Госпожа Петрова и Анна Петрова. Потом Петрова ушла. Κύριος Παπαδόπουλος, Παπαδόπουλος!"),
+        (4, "Clark alone, and Clarkson."),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    a = re.fullmatch(r"Mrs (\w+) paid. Later (\w+) left, with (\w+)'s bag. Mr (\w+) came. Mrs (\w+) (\w+) too", got[1])
+    assert a[1] == a[2] == a[3] == a[6] != a[4] and a[5] in pii.GIVEN["f"] and not {"Clark", "Anna"} & set(a.groups())
+    b = re.fullmatch(r"(\w+) (\w+) and (\w+) (\w+) met Mr. (\w+); (\w+)'s friend, my name is (\w+) (\w+), and (\w+) was glad.", got[2])
+    assert (b[1], b[2]) == (a[5], a[1]) and b[4] == a[1] and b[3] != b[1] and b[5] == b[6] and b[8] == b[9] != "Kvist" and b[7] in pii.GIVEN["n"]
+    c = re.fullmatch(r"Клара: Госпожа (\w+) и (\w+) (\w+). Потом (\w+) ушла. Κύριος (\w+), (\w+)!", got[3])
+    assert c[1] == c[3] == c[4] != "Петрова" and c[2] in pii.CYRILLIC_GIVEN["f"] and c[5] == c[6] and re.fullmatch(r"[Α-Ωα-ως]+", c[5]) and re.fullmatch(r"[А-Яа-я]+", c[1])
+    assert got[4] == rows[3][1]
+
+
+def test_pii_distinct_and_the_same(spark):
+    """Against brute force: one surrogate an entity over all documents, and no two entities with one surrogate; extra columns, repeated rows and a very long text."""
+    rng = random.Random(21)
+    mails = [f"{rng.choice('abc')}{rng.choice('xy')}@{rng.choice('mn')}.io" for _ in range(12)]
+    people = [f"{t} {g} {f}" for t in ("Mr", "Mrs") for g in ("John", "Emma", "Alex") for f in ("Stone", "Brook", "Hill")]
+    rows = []
+    for i in range(40):
+        own = [rng.choice(mails + people) for _ in range(rng.randint(1, 6))]
+        rows.append((i, " | ".join(own), own, "x"))
+    rows += [rows[0], (99, "long " * 60_000 + "| Mr John Stone |" + " text" * 60_000, [], "y")]
+    out = pseudonymised(spark.createDataFrame(rows, "doc_id long, text string, entities array<string>, row string"), "k").collect()
+    seen, real = {}, set(mails + people)
+    assert len(out) == len(rows)
+    for r in out:
+        own = rows[r["doc_id"]][2] if r["doc_id"] < 99 else ["Mr John Stone"]
+        new = r["text"].split(" | ") if r["doc_id"] < 99 else [re.search(r"\| (.*) \|", r["text"])[1]]
+        assert len(new) == len(own) == r["n_entities"]
+        for x, y in zip(own, new, strict=True):
+            assert seen.setdefault(x, y) == y and y not in real
+    assert len(set(seen.values())) == len(seen)
+    parts = [(x.split(), y.split()) for x, y in seen.items() if " " in x]
+    assert all(x[0] == y[0] for x, y in parts) and len({(x[0], x[2]) for x, _ in parts}) == len({(y[0], y[2]) for _, y in parts}) == len({y[2] for _, y in parts})
+
+
 def test_toxicity(spark, none):
     rng = random.Random(5)
     clean = [f"w{i}ord" for i in range(300)]
