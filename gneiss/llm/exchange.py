@@ -112,9 +112,9 @@ def block_keys(n: int) -> np.ndarray:
     return even_keys(n) if n <= MOST_EVEN else np.arange(n, dtype=np.int64)
 
 
-def by_hash(spark: SparkSession, *columns: Column | str) -> Column:
+def by_hash(spark: SparkSession, *columns: Column | str, blocks: int | None = None) -> Column:
     """Block key of a row, spread by the columns' values. Rows that differ in any of them are dealt out apart."""
-    n = width_of(spark)
+    n = blocks or width_of(spark)
     number = F.pmod(F.xxhash64(*columns), F.lit(n))
     if n > MOST_EVEN:
         return number

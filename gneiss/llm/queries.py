@@ -15,7 +15,7 @@ from gneiss.llm.licenses import LOWER, PHRASES, TEMPLATES, UPPER, license_scan
 from gneiss.llm.minhash import near_groups
 from gneiss.llm.mixing import mix
 from gneiss.llm.pii import pseudonymised
-from gneiss.llm.substring_dedup import repeated_words
+from gneiss.llm.substring_dedup import repeats
 from gneiss.llm.suffix_dedup import earlier_bytes
 from gneiss.llm.toxicity import toxicity
 
@@ -25,8 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_words(table(spark, sf_dir, "documents"), window=35)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    out, longest = repeats(table(spark, sf_dir, "documents"), window=35)
+    out = out.select("row", "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return out.join(longest, "row", "left").withColumn("longest", F.coalesce("longest", F.lit(0)).cast("long")).drop("row")
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +99,20 @@ def _values(rows: list[tuple]) -> str:
 
 _PHRASES = _values([(len(p.split()), p, label) for p, label in PHRASES.items()])
 _TEMPLATES = _values([(label, sorted(set(t.split())), math.ceil(0.8 * len(set(t.split())) - 1e-9), math.floor(len(t.split()) / 0.8 + 1e-9)) for t, label in TEMPLATES.items()])
+#: Levels of doubling that the SQL has: windows of up to 35 * 2**11 words.
+_MOST = 12
 _LONGEST = max(len(p.split()) for p in PHRASES)
 
 
+def _levels(most: int) -> str:
+    """CTEs v1, v2, ... of (doc_id, i, win) of the windows of 35 words, 70 and so on that occur more than once, each from the one before."""
+    steps = ["v0 AS (SELECT doc_id, i, win FROM p WHERE win IN (SELECT win FROM r2))"]
+    for k in range(1, most):
+        both = f"SELECT x.doc_id, x.i, md5(x.win || y.win) AS win FROM v{k - 1} x JOIN v{k - 1} y ON x.doc_id = y.doc_id AND y.i = x.i + {35 << k - 1}"
+        steps.append(f"v{k} AS (SELECT doc_id, i, win FROM (SELECT *, count(*) OVER (PARTITION BY win) AS n FROM ({both})) WHERE n > 1)")
+    return ", ".join(steps)
+
+
 def _windows(table: str) -> str:
     """CTEs b2 to b32 of (doc_id, i, b, and the hex digits of that many bytes from i on), each from the one before."""
     steps = []
@@ -153,13 +165,14 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, size, source_size, target, CAST(CASE WHEN shard_size > 0 THEN passes * size + {_before("stop")} - {_before("start")} ELSE 0 END AS BIGINT) AS taken FROM b""",
     "op1_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
     p AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
-    r AS (SELECT doc_id, i FROM p WHERE win IN (SELECT win FROM p GROUP BY win HAVING count(*) > 1)),
+    r2 AS (SELECT win FROM p GROUP BY win HAVING count(*) > 1), r AS (SELECT doc_id, i FROM p WHERE win IN (SELECT win FROM r2)), {_levels(_MOST)},
+    lo AS (SELECT doc_id, max(n) AS longest FROM ({" UNION ALL ".join(f"SELECT DISTINCT doc_id, {35 << k} AS n FROM v{k}" for k in range(_MOST))}) GROUP BY doc_id),
     c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
     e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
     k AS (SELECT e.doc_id, e.j, word, c.j IS NOT NULL AS gone FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.j = c.j),
     s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS starts FROM k),
     o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept, count(*) FILTER (starts) AS n_spans FROM s GROUP BY doc_id)
-    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INT) AS n_spans FROM w LEFT JOIN o USING (doc_id)""",
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INT) AS n_spans, CAST(coalesce(longest, 0) AS BIGINT) AS longest FROM w LEFT JOIN o USING (doc_id) LEFT JOIN lo USING (doc_id)""",
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op4_suffix_array_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents),

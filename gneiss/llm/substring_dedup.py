@@ -4,13 +4,14 @@ Level 1 looks at windows of half the length (rounded up) at content-chosen ancho
 of every full window, so that equal full windows have equal anchors. Each run of full windows with one anchor is a
 segment. An owner of hashes says of each segment whether the same segment occurs elsewhere, and whether its anchor
 occurs in another segment. Anchors that occur alone end there. Where segments are equal, so are all their windows.
-Only what is left, repeated anchors in differing segments, is extended to twice the length: full windows, exchanged
-one by one. Doubling ends there: the levels beyond the window, until no candidate survives, are not implemented.
+Only what is left, repeated anchors in differing segments, is extended to full windows, exchanged one by one. What words
+are removed is decided at that level. Runs of repeated windows that hold one of twice the length go on as stretches of
+word hashes, and the same two steps are taken on them at twice the length, four times, and so on, until no candidates
+survive: each text's longest length that repeats is known then.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import exchange as ex
 from gneiss.llm import textbytes as tb
+from gneiss.llm.work import written
 
 U = np.uint64
 LOW = ex.ALIGN  # bits of a segment's hash beside its anchor's
+#: Bytes of stretches in a block, about.
+BLOCK = 4 << 20
 
 
 @dataclass
@@ -72,7 +76,8 @@ class Piece:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
         self.data, self.window = data, window
         self.starts, self.ends, self.limits = tb.words(data, offsets)
-        self.sums = tb.prefix(tb.word_hashes(data, self.starts, self.ends))
+        self.hashes = tb.word_hashes(data, self.starts, self.ends)
+        self.sums = tb.prefix(self.hashes)
         self.segments = segments(self.sums, self.limits, window, (window + 1) // 2)
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +112,90 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats all its windows. A null id is an id like another. Other columns of docs are not looked at. Spaces that
     separate words become one space in kept_text.
     """
+    return _windows(docs, id_col, text_col, window).drop("row", "longer")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> tuple[DataFrame, DataFrame]:
+    """What repeated_words() returns, with a key (row) of each row's id and text; and (row, longest) of the rows with repeats: the largest of window, 2 * window, 4 * window and so on of which the text has a run of words that also starts elsewhere."""
+    done = written(_windows(docs, id_col, text_col, window), "windows")
+    found = [done.where("n_removed > 0").select("row", F.lit(window).cast("long").alias("longest"))]
+    left = written(done.select("row", F.explode("longer").alias("words")), "stretches")
+    while (size := left.agg(F.sum(F.octet_length("words"))).first()[0]) is not None:
+        window *= 2
+        level = written(_doubled(left, window, max(1, min(ex.width_of(docs.sparkSession), -(-size // BLOCK)))), "level")
+        found.append(level.select("row", F.lit(window).cast("long").alias("longest")))
+        left = level.where("words is not null")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return done.drop("longer"), written(every.groupBy("row").agg(F.max("longest").alias("longest")), "longest")
+
+
+def _runs(repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], repeated.view(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def _doubled(stretches: DataFrame, window: int, n: int) -> DataFrame:
+    """Of stretches (row, words: hashes of words), one row for each run of repeated windows: row, and the run's words if they hold a window of twice the length."""
+    spark, keys = stretches.sparkSession, ex.block_keys(n)
+    blocks = stretches.withColumn("block", ex.by_hash(spark, "row", "words", blocks=n)).repartition(n, "block")
+
+    def parsed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:
+        data, offsets = tb.texts(table["words"])
+        words, limits = np.frombuffer(data.tobytes(), dtype=U), offsets // 8
+        sums = tb.prefix(words)
+        return words, limits, sums, segments(sums, limits, window, window // 2)
+
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        return ex.send(key[0].as_py(), np.unique(parsed(table)[3].key), n, keys)
+
+    def resolve(table: pa.Table, flags: pa.Table) -> tuple:
+        words, limits, sums, s = parsed(table)
+        distinct, place, count = _local(s.key)
+        known, varied = ex.told(flags, keys, 2)
+        known = (known | (count > 1))[place]
+        varied = (varied | _varied(distinct))[place]
+        at = _ranges(s.first[varied], s.end[varied])
+        return words, limits, s, known, at, tb.span(sums, at, at + window) >> U(64 - ex.BITS)
+
+    def second(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return ex.send(key[0].as_py(), np.empty(0, U), n, keys)
+        return ex.send(key[0].as_py(), np.unique(resolve(table, flags)[-1]), n, keys)
+
+    def last(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([[], []], schema=STRETCHES)
+        level = flags["level"].to_numpy()
+        words, limits, s, known, at, hashes = resolve(table, flags.filter(pa.array(level == 1)))
+        distinct, place, count = _local(hashes)
+        again = ((count > 1) | ex.told(flags.filter(pa.array(level == 2)), keys, 1)[0])[place]
+        repeated = np.zeros(len(words), dtype=bool)
+        repeated[_ranges(s.first[known], s.end[known])] = True
+        repeated[at[again]] = True
+        starts, ends = _runs(repeated)
+        rows = table["row"].combine_chunks().take(pa.array(np.searchsorted(limits, starts, side="right") - 1))
+        longer = [words[a : b + window - 1].tobytes() if b - a > window else None for a, b in zip(starts, ends, strict=True)]
+        return pa.table([rows, pa.array(longer, pa.binary())], schema=STRETCHES)
+
+    one = ex.judge(blocks.groupBy("block").applyInArrow(first, ex.SENT), keys, ex.segment_rule(LOW, by_order=False))
+    two = ex.judge(blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, ex.SENT), keys, ex.elsewhere)
+    both = one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2)))
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(last, "row long, words binary")
+
+
+STRETCHES = pa.schema([("row", pa.int64()), ("words", pa.binary())])
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """What repeated_words() returns, with `row` and `longer`: the word hashes of runs that hold a repeated window of twice the length, perhaps."""
     if window < 2:
         raise ValueError("window must be 2 words at least")
     spark = docs.sparkSession
     n, keys = ex.width_of(spark), ex.block_keys(ex.width_of(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("id", "text"))
     blocks = rows.withColumn("block", ex.by_hash(spark, "id", "text")).repartition(n, "block")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
@@ -144,30 +228,38 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def last(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         level = flags["level"].to_numpy()
         if not table.num_rows:
-            return pa.table([[]] * 5, schema=OUT)
+            return pa.table([[]] * len(OUT), schema=OUT)
         table, data, offsets, cuts = resolve(table, flags.filter(pa.array(level == 1)))
         at = windows_of(data, offsets, cuts)
         distinct, place, count = _local(np.concatenate([h for _, h in at]))
         again = ((count > 1) | ex.told(flags.filter(pa.array(level == 2)), keys, 1)[0])[place]
-        out: dict[str, list] = {name: [] for name in ("n_words", "n_removed", "kept", "spans")}
+        out: dict[str, list] = {name: [] for name in ("n_words", "n_removed", "kept", "spans", "longer")}
         done = 0
         for (a, b, known, _), (starts, _) in zip(cuts, at, strict=True):
             piece = Piece(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window)
             s = piece.segments
-            single = starts[again[done : done + len(starts)]]
+            repeated = np.zeros(len(piece.starts), dtype=bool)
+            repeated[_ranges(s.first[known], s.end[known])] = True
+            repeated[starts[again[done : done + len(starts)]]] = True
             done += len(starts)
-            gone = tb.covered(len(piece.starts), np.concatenate((s.first[known], single)), np.concatenate((s.end[known] + window - 1, single + window)))
+            begin, end = _runs(repeated)
+            gone = tb.covered(len(piece.starts), begin, end + window - 1)
             _collect(piece, gone, out)
-        return pa.table([table["id"].combine_chunks(), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["spans"], OUT.field("spans").type)], schema=OUT)
+            longer: list[list[bytes]] = [[] for _ in range(b - a)]
+            for x, y, d in zip(begin, end, np.searchsorted(piece.limits, begin, side="right") - 1, strict=True):
+                if y - x > window:
+                    longer[d].append(piece.hashes[x : y + window - 1].tobytes())
+            out["longer"] += longer
+        return pa.table([table["id"].combine_chunks(), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["spans"], OUT.field("spans").type), table["row"].combine_chunks(), pa.array(out["longer"], pa.list_(pa.binary()))], schema=OUT)
 
     one = ex.judge(blocks.groupBy("block").applyInArrow(first, ex.SENT), keys, ex.segment_rule(LOW, by_order=False))
     two = ex.judge(blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, ex.SENT), keys, ex.elsewhere)
     both = one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2)))
-    done = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(last, "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>")
+    done = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(last, "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>, row long, longer array<binary>")
     return done.withColumnRenamed("id", id_col)
 
 
-OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("row", pa.int64()), ("longer", pa.list_(pa.binary()))])
 
 
 def _collect(piece: Piece, gone: np.ndarray, out: dict[str, list]) -> None:
@@ -193,6 +285,3 @@ def _collect(piece: Piece, gone: np.ndarray, out: dict[str, list]) -> None:
         edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
         out["spans"].append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
 
-
-def digest(kept: str) -> str:
-    return hashlib.sha256(kept.encode()).hexdigest()

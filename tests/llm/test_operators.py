@@ -20,7 +20,7 @@ from gneiss.llm.licenses import PHRASES, TEMPLATES, license_scan
 from gneiss.llm.minhash import near_groups
 from gneiss.llm.mixing import mix, quotas
 from gneiss.llm.pii import pseudonymised
-from gneiss.llm.substring_dedup import repeated_words
+from gneiss.llm.substring_dedup import repeated_words, repeats
 from gneiss.llm.suffix_dedup import common_prefixes, earlier_bytes, suffix_array
 from gneiss.llm.toxicity import toxicity
 
@@ -97,6 +97,28 @@ def test_substring_dedup(docs, none):
     assert repeated_words(none).count() == 0
 
 
+def test_longest_repeats(spark, docs, none):
+    rng = random.Random(4)
+    prose = lambda n: [f"v{rng.randrange(500)}" for _ in range(n)]
+    shared = prose(700)
+    own = [prose(40) + shared[a : a + n] + prose(rng.randint(0, 50)) for a, n in ((0, 34), (0, 35), (3, 69), (10, 70), (100, 139), (90, 300), (50, 600), (200, 500))] + [["a"] * 400, ["a"] * 141]
+    rows = [r[:2] for r in corpus()] + [(1000 + i, " ".join(w)) for i, w in enumerate(own)]
+    texts = [words(t) for _, t in rows]
+    want = [0] * len(rows)
+    length = 35
+    while True:
+        seen = Counter(tuple(w[j : j + length]) for w in texts for j in range(len(w) - length + 1))
+        again = [any(seen[tuple(w[j : j + length])] > 1 for j in range(len(w) - length + 1)) for w in texts]
+        if not any(again):
+            break
+        want = [length if x else y for x, y in zip(again, want, strict=True)]
+        length *= 2
+    out, longest = repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = out.join(longest, "row", "left").select("doc_id", F.coalesce("longest", F.lit(0))).collect()
+    assert sorted(map(tuple, got)) == sorted((i, n) for (i, _), n in zip(rows, want, strict=True)) and max(want) == 280
+    assert repeats(none)[1].count() == 0
+
+
 def test_suffix_dedup(docs, none):
     first = {}
     for r in sorted(corpus(), key=lambda r: r[0]):
