@@ -51,11 +51,22 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "name": rf"(?:\b(?:(?:{TITLED})\.?\s+{WORD}(?:\s{WORD})?|(?:{LISTED})\s{WORD})|(?<=(?:{'|'.join(CUES)})\s){WORD}(?:\s{WORD}){{0,2}})(?!\p{{L}})",
+    # Only capital letters are looked at closer.
+    "name": rf"(?=\p{{Lu}})(?:\b(?:(?:{TITLED})\.?\s+{WORD}(?:\s{WORD})?|(?:{LISTED})\s{WORD})|(?<=(?:{'|'.join(CUES)})\s){WORD}(?:\s{WORD}){{0,2}})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity: what every match of a pattern, in their order, holds. A phone number that does not start with + holds three digits in a row.
-HINT = r"@|AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}|\d\.\d|\d{3}|\+\d|\d(?:[ -]?\d){12}|\b(?:" + f"{TITLED}|{LISTED})\\.?\\s|(?:{'|'.join(CUES)})\\s"
+#: A text without any of these, nor a cue, has no entity: what every match of a pattern, in their order, holds. A phone number that does not start with + holds three digits in a row.
+HINT = r"(?=[@A-Zspgx\d+a-f])(?:@|AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}|\d\.\d|\d{3}|\+\d|\d(?:[ -]?\d){12})|(?=\p{Lu})(?:" + f"{TITLED}|{LISTED})\\.?\\s"
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text may have an entity."""
+    out = text.rlike(HINT)
+    for cue in CUES:
+        out = out | F.contains(text, F.lit(cue))
+    return out
+
+
 #: Draws in an entity's own format; each later one is a syllable, letter or digit longer than the one before.
 TRIES = 4
 ALPHABETS = {"[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{Lu}": "ÀÂÄÇÈÉÊËÎÏÔÖÙÛÜÑÍÓÚÁ", r"\p{L}": "àâäçèéêëîïôöùûüñíóúá"}
@@ -197,7 +208,7 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # All texts are written with their entities, so that the pattern goes over the corpus once.
-    found = written(rows.withColumn("entities", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), 0))), "entities")
+    found = written(rows.withColumn("entities", F.when(may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(ANY), 0))), "entities")
     has = F.coalesce(F.size("entities") > 0, F.lit(False))
     some = found.where(has)
     writings = some.select(F.explode("entities").alias("entity")).distinct().withColumn("type", kind(F.col("entity")))
