@@ -26,6 +26,7 @@ U = np.uint64
 LONGEST_GRAM, SHORT = 10, 20
 #: Pairs of equal q-grams that are held at once, about.
 HELD = 1 << 21
+SPREAD = U(0x9FB21C651E98DF25)
 #: What stands for places outside a text in an alignment.
 OUTSIDE = np.uint32(0xFFFFFFFF)
 
@@ -55,29 +56,37 @@ class Grams:
 
     def __init__(self, items: list[np.ndarray], own: list[int], q: int):
         self.q = q
-        found = [tb.rolling(tb.prefix(point_values(items[i])), q) for i in own]
+        found = [tb.rolling(tb.prefix(point_values(items[i])), q, mixed=False) for i in own]
         every = np.concatenate(found)
         order = np.argsort(every, kind="stable")
-        self.hashes = every[order]
         self.of = np.repeat(own, [len(h) for h in found])[order]
         self.at = np.concatenate([np.arange(len(h)) for h in found])[order]
-        # A table of about 16 places a q-gram rules most of a document's out.
-        self.bits = min(24, max(12, (16 * len(every)).bit_length()))
-        self.sieve = np.zeros(1 << self.bits, dtype=bool)
-        self.sieve[self.hashes >> U(64 - self.bits)] = True
-
-    def hits(self, sums: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Item, place in it and place in the texts of each shared q-gram, some of them at a time."""
-        h = tb.rolling(sums, self.q)
-        place = np.flatnonzero(self.sieve[h >> U(64 - self.bits)])
-        low = np.searchsorted(self.hashes, h[place], side="left")
-        n = np.searchsorted(self.hashes, h[place], side="right") - low
-        place, low, n = place[n > 0], low[n > 0], n[n > 0]
-        for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HELD)) + 1):
-            if len(part):
-                own = n[part]
-                entry = np.repeat(low[part], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-                yield self.of[entry], self.at[entry], np.repeat(place[part], own)
+        self.hashes, self.count = np.unique(every, return_counts=True)
+        self.first = np.cumsum(self.count) - self.count
+        # A table of 32 places a q-gram or more rules most of a document's out.
+        self.shift = U(64 - min(24, max(12, (32 * len(every)).bit_length())))
+        self.sieve = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.sieve[self.place(self.hashes)] = True
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return (h * SPREAD) >> self.shift
+
+    def hits(self, sums: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Item, place in it, place in the texts, and text of each shared q-gram that one text has whole, some of them at a time."""
+        h = tb.rolling(sums, self.q, mixed=False)
+        place = np.flatnonzero(self.sieve[self.place(h)])
+        at = np.minimum(np.searchsorted(self.hashes, h[place]), len(self.hashes) - 1)
+        same = self.hashes[at] == h[place]
+        place, at = place[same], at[same]
+        doc = np.searchsorted(offsets, place, side="right") - 1
+        whole = place + self.q <= offsets[doc + 1]
+        place, at, doc = place[whole], at[whole], doc[whole]
+        n = self.count[at]
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // HELD)) + 1
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(n)), strict=True):
+            own = n[a:b]
+            entry = np.arange(own.sum()) + np.repeat(self.first[at[a:b]] - (np.cumsum(own) - own), own)
+            yield self.of[entry], self.at[entry], np.repeat(place[a:b], own), np.repeat(doc[a:b], own)
 
 
 class Slice:
@@ -98,10 +107,8 @@ class Slice:
         for grams in self.grams:
 
             def hits(grams: Grams = grams) -> Iterator[tuple[np.ndarray, ...]]:
-                for item, inside, place in grams.hits(sums):
-                    doc = np.searchsorted(offsets, place, side="right") - 1
-                    whole = place + grams.q <= offsets[doc + 1]
-                    yield item[whole], inside[whole], place[whole], doc[whole], doc[whole] * n + item[whole]
+                for item, inside, place, doc in grams.hits(sums, offsets):
+                    yield item, inside, place, doc, doc * n + item
 
             # Pairs of text and item with too few hits on all diagonals together are out.
             pairs, counts, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
