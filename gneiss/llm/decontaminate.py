@@ -24,6 +24,8 @@ from gneiss.llm.work import written
 U = np.uint64
 #: Longest q-grams; and the length under which items must occur as they are.
 LONGEST_GRAM, SHORT = 10, 20
+#: Where the bound would be under so many q-grams, they are one character shorter.
+FEW = 8
 #: Pairs of equal q-grams that are held at once, about.
 HELD = 1 << 21
 SPREAD = U(0x9FB21C651E98DF25)
@@ -96,7 +98,9 @@ class Slice:
         self.items = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in items]
         self.size = np.array([len(x) for x in self.items], dtype=np.int64)
         self.budget = np.where(self.size < SHORT, 0, (self.size * rate).astype(np.int64))
-        q = np.where(self.size < SHORT, np.minimum(LONGEST_GRAM, self.size), np.clip(self.size // (self.budget + 1), 1, LONGEST_GRAM))
+        longest = self.size // (self.budget + 1)
+        longest = np.where((longest > 4) & (self.size + 1 - longest * (self.budget + 1) < FEW), longest - 1, longest)
+        q = np.where(self.size < SHORT, np.minimum(LONGEST_GRAM, self.size), np.clip(longest, 1, LONGEST_GRAM))
         self.need = np.maximum(1, self.size + 1 - q * (self.budget + 1))
         self.grams = [Grams(self.items, np.flatnonzero(q == k).tolist(), k) for k in sorted(set(q.tolist()))]
 
@@ -111,14 +115,18 @@ class Slice:
                     yield item, inside, place, doc, doc * n + item
 
             # Pairs of text and item with too few hits on all diagonals together are out.
-            pairs, counts, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            pairs, counts, held = [], [], []
             for part in hits():
                 pair, count = np.unique(part[-1], return_counts=True)
                 pairs.append(pair)
                 counts.append(count)
-                held = [part] if len(pairs) == 2 else []
-            pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
-            pair = pair[np.bincount(of, weights=np.concatenate(counts), minlength=len(pair)) >= self.need[pair % n]]
+                held = [part] if len(pairs) == 1 else []
+            if len(pairs) == 1:
+                pair, count = pairs[0], counts[0]
+            else:
+                pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
+                count = np.bincount(of, weights=np.concatenate(counts), minlength=len(pair))
+            pair = pair[count >= self.need[pair % n]]
             if not len(pair):
                 continue
             # Rows of text, item, shift and band, and how many of the item's places hit. Where a part of the hits ends within a band, a place may count twice, which lets more bands through.
