@@ -23,7 +23,7 @@ from gneiss.llm.substring_dedup import LOW, Segments, _local, _ranges, _varied,
 U = np.uint64
 LAST = np.iinfo(np.int64).max
 #: Bytes that a suffix array is built over, about.
-PART = 1 << 20
+PART = 1 << 19
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ class Shard:
         self.window = window
         self.data, self.offsets = tb.texts(self.table["text"])
         ids = self.table["id"].to_numpy()
-        self.rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+        self.rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
         parts = []
         for a, b in tb.pieces(self.offsets):
             limits = self.offsets[a : b + 1] - self.offsets[a]
