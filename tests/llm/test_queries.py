@@ -35,3 +35,20 @@ def test_pipeline(spark):
     assert before.select("text").distinct().count() == before.count()
     out = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert out.count() == before.count() and out.where(F.col("taken") > 2 * F.col("size")).isEmpty()
+
+
+def test_stages_of_odd_tables(spark):
+    """Null ids and texts, empty and very long texts, repeated rows, columns whose names operators use themselves, and an empty table."""
+    long = " ".join(f"w{i * i % 7919}" for i in range(20_000))
+    rows = [(None, "no id here", "s", 1), (None, "no id here", "s", 2), (None, None, None, 3), (1, None, "s", 4), (1, "", "s", 5), (2, long, "t", 6), (3, long + " end", "t", 7), (4, "one two", "t", 8), (4, "one two", "t", 8)]
+    schema = "doc_id long, text string, source string, row long"
+    for extra in ("id", "kept_id"):
+        for own in (rows, []):
+            docs = spark.createDataFrame(own, schema).withColumnRenamed("row", extra)
+            for _, stage in corpus_pipeline.STAGES[:-1]:
+                after = stage(spark, docs, SF)
+                assert after.columns == docs.columns
+                docs = spark.createDataFrame(after.collect(), docs.schema)
+            kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+            assert not own or (len(kept) == len(set(kept)) and {i for i, _ in kept} == {None, 1, 2, 4})
+            assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(kept)
