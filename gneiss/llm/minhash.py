@@ -27,8 +27,8 @@ KEPT = 4
 #: Standard deviations of the estimate that a pair may fall below the threshold before it is dropped.
 SLACK = 6.0
 TILE = 1000
-#: Pairs of one first member that are confirmed together, about.
-GROUP = 256
+#: Pairs of one first member that are confirmed together, and bytes of their texts, about.
+GROUP, GROUP_BYTES = 256, 4 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def at_most(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.
     return most / (nx + ny - most)
 
 
-SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, bitmap binary"
+SIGNED = "id long, n_bytes long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, bitmap binary"
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
@@ -109,7 +109,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(full)))
                 lists = pa.ListArray.from_arrays(pa.array(at * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
                 rows = [packed[i].tobytes() if f else None for i, f in zip(at[:-1], full, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], pa.array(size, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), lists, pa.array(rows, pa.binary()), pa.array(bitmaps(hashes, limits), pa.binary())], names=["id", "n_shingles", "set_a", "set_b", "bands", "signature", "bitmap"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], pa.array(np.diff(offsets[a : b + 1]), pa.int64()), pa.array(size, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), lists, pa.array(rows, pa.binary()), pa.array(bitmaps(hashes, limits), pa.binary())], names=["id", "n_bytes", "n_shingles", "set_a", "set_b", "bands", "signature", "bitmap"])
 
     return docs.mapInArrow(kernel, SIGNED)
 
@@ -156,9 +156,10 @@ def likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     return sides.mapInArrow(kernel, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs some of whose texts' full sets have 100 * intersection >= percent * union. The pairs of one first member are dealt out in groups of about GROUP, each with that member's texts."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+def confirmed(pairs: DataFrame, texts: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs some of whose texts' full sets have 100 * intersection >= percent * union. The pairs of one first member are dealt out in groups of about GROUP or GROUP_BYTES, whichever is reached first, each with that member's texts; own has the texts' n_bytes."""
+    share = F.greatest(F.lit(1 / GROUP), F.col("n_bytes") / GROUP_BYTES)
+    parts = pairs.join(own.select(F.col("id").alias("b"), "n_bytes"), "b").groupBy("a").agg(F.ceil(F.sum(share)).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "part", "text")
     heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "part", "text")
@@ -218,7 +219,8 @@ def between(members: DataFrame, threshold: float, forest: bool) -> DataFrame:
         maps = [np.frombuffer(x, np.uint8) for x in table["bitmap"].to_pylist()]
         width = np.array([len(x) for x in maps])
         # Sets that can reach the threshold differ in width by one step at most.
-        level = {w: np.stack([folded(x, w) if w <= len(x) <= 2 * w else np.zeros(w, np.uint8) for x in maps]) for w in np.unique(width)}
+        near = {w: np.flatnonzero((width >= w) & (width <= 2 * w)) for w in np.unique(width)}
+        level = {w: np.stack([folded(maps[k], w) for k in at]) for w, at in near.items()}
         left, right, bound = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for i in range(n - 1):
             rest = np.arange(i + 1, n)
@@ -227,7 +229,8 @@ def between(members: DataFrame, threshold: float, forest: bool) -> DataFrame:
                 rest = rest[agreement(packed[i], packed[rest]) >= least]
                 for w in np.unique(np.minimum(width[rest], width[i])):
                     own = rest[np.minimum(width[rest], width[i]) == w]
-                    most = at_most(level[w][i], level[w][own], size[i], size[own])
+                    row = np.searchsorted(near[w], np.append(i, own))
+                    most = at_most(level[w][row[0]], level[w][row[1:]], size[i], size[own])
                     good = most >= threshold - 1e-9
                     left.append(np.full(good.sum(), i))
                     right.append(own[good])
@@ -262,7 +265,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("set_id"))
     owned = written(full.select("id", "set_a", "set_b", "n_shingles").join(sets, ["set_a", "set_b", "n_shingles"]).select("id", "n_shingles", "set_id"), "sets")
     own = full.join(sets, ["set_a", "set_b", "n_shingles"]).where("id = set_id").dropDuplicates(["id", "set_a", "set_b", "n_shingles"])
-    own = written(own.select("id", "n_shingles", "bands", "signature", "bitmap"), "own")
+    own = written(own.select("id", "n_bytes", "n_shingles", "bands", "signature", "bitmap"), "own")
     # A key is of one band, as each band's keys are hashed apart. Only buckets of several sets are kept.
     buckets = own.select("id", F.explode("bands").alias("key"))
     firsts = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -270,7 +273,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     texts = rows.where("id is not null")
     tried = written(likely(star, own, threshold).distinct(), "tried")
-    links = written(confirmed(tried, texts, shingle, percent).distinct(), "confirmed")
+    links = written(confirmed(tried, texts, own, shingle, percent).distinct(), "confirmed")
     # An id that several rows share links its rows' sets.
     same = owned.where("id <> set_id").select(F.col("set_id").alias("a"), F.col("id").alias("b"))
     links = links.unionByName(same.join(own.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct())
@@ -284,7 +287,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         members = members.join(own.select("id", "n_shingles", "signature", "bitmap"), "id")
         more = written(between(members, threshold, forest).join(tried, ["a", "b"], "left_anti"), "more")
         tried = tried.unionByName(more)
-        found = joined(found, confirmed(more, texts, shingle, percent))
+        found = joined(found, confirmed(more, texts, own, shingle, percent))
     every = signed.select("id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
     every = every.withColumn("set_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("set_id")).otherwise(F.col("id")))
     every = every.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
