@@ -1,4 +1,4 @@
-"""python -m gneiss pack|inspect|verify|unpack: archives from the command line."""
+"""python -m gneiss pack|inspect|verify|unpack|demo|measure: archives from the command line."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.errors import PySparkException
 
-from gneiss.plans import archive
+from gneiss.plans import archive, corpus, report
 from gneiss.session import session
 
 
@@ -27,21 +27,28 @@ def main(argv: list[str] | None = None) -> int:
         commands.add_parser(name).add_argument("archive")
     commands.choices["verify"].add_argument("--work-dir", help="taken for compatibility: nothing is written by verifying")
     commands.choices["unpack"].add_argument("-o", "--output", required=True)
+    for name, what in (("demo", "five related files in a new folder: packed, verified, unpacked and compared"), ("measure", "the same for 17 groups of generated files, as a table")):
+        commands.add_parser(name, help=what).add_argument("-o", "--output", required=True)
     a = parser.parse_args(argv)
     spark = session()
     try:
-        if a.command == "pack":
-            report = archive.pack(spark, a.sources, a.output, average=a.average, mode=a.mode, allow_growth=a.allow_growth, work_dir=a.work_dir)
+        if a.command == "measure":
+            print(report.make_report(corpus.measured(spark, a.output, corpus.groups())), end="")
+            return 0
+        if a.command == "demo":
+            result = corpus.demo(spark, a.output)
+        elif a.command == "pack":
+            result = archive.pack(spark, a.sources, a.output, average=a.average, mode=a.mode, allow_growth=a.allow_growth, work_dir=a.work_dir)
         elif a.command == "inspect":
-            report = archive.inspect_archive(spark, a.archive)
+            result = archive.inspect_archive(spark, a.archive)
         elif a.command == "verify":
-            report = archive.verify(spark, a.archive)
+            result = archive.verify(spark, a.archive)
         else:
-            report = archive.unpack(spark, a.archive, a.output)
+            result = archive.unpack(spark, a.archive, a.output)
     except (ValueError, OSError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
-    print(json.dumps(report, indent=2, sort_keys=True))
+    print(json.dumps(result, indent=2, sort_keys=True))
     return 0
 
 
