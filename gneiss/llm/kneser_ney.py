@@ -157,6 +157,14 @@ def _pairs_answer(hot: set[int]):
     return answer
 
 
+def _kinds(pairs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair of each kind of token, a place of it, and each token's kind. A token whose pair has the hash of another word's, as happens after words that many others follow, is a kind of its own."""
+    pair, at, kind = np.unique(pairs, return_index=True, return_inverse=True)
+    other = np.flatnonzero(words[at][kind] != words)
+    kind[other] = len(at) + np.arange(len(other))
+    return np.append(pair, pairs[other]), np.append(at, other), kind
+
+
 def _start(table: pa.Table) -> U:
     """Context part with which the owner's range of hashes begins; it is sent as the range's number in the codes' order."""
     return U(table["start"][0].as_py())
@@ -252,8 +260,8 @@ def perplexity(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col
         pair_total, _, contexts = pair_values(of(2))
         totals = answers.filter(pa.array(level == 0))["totals"][0].as_py()
         word_sizes, pair_sizes, ends_sizes = (totals[k] for k in ("words", "pairs", "ends"))
-        # Each piece's distinct pairs, a place of each, and each token's number among them.
-        kinds_of = [(a, b, t, *np.unique(t.pairs(hot), return_index=True, return_inverse=True)) for a, b, t in tokens(table)]
+        # Each piece's distinct pairs and words, a place of each, and each token's number among them.
+        kinds_of = [(a, b, t, *_kinds(t.pairs(hot), t.words())) for a, b, t in tokens(table)]
         own_words = np.unique(np.concatenate([t.words()[at] for _, _, t, _, at, _ in kinds_of]))
         own_pairs = np.unique(np.concatenate([pair for *_, pair, _, _ in kinds_of]))
         words, pairs = Slice(own_words, np.stack(sums)), Slice(own_pairs, pair_total[None, :])

@@ -20,6 +20,7 @@ from gneiss.llm.licenses import PHRASES, TEMPLATES, license_scan
 from gneiss.llm.minhash import near_groups
 from gneiss.llm.mixing import mix, quotas
 from gneiss.llm.pii import pseudonymised
+from gneiss.llm.queries import QUERIES
 from gneiss.llm.substring_dedup import repeated_words, repeats
 from gneiss.llm.suffix_dedup import common_prefixes, earlier_bytes, suffix_array
 from gneiss.llm.toxicity import toxicity
@@ -267,6 +268,18 @@ def test_kneser_ney(docs, none):
     assert perplexity(none, usable).count() == 0
 
 
+def test_kneser_ney_many_words_after_one(spark, tmp_path):
+    """So many words follow one that pairs of them share a hash; a row without id is not held out."""
+    texts = [" ".join(f"{'abcdef'[(i + j) % 6]} u{1000 * i + j}" for j in range(1000)) for i in range(300)]
+    rows = [*enumerate(texts), (None, "a u1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = [(i, [*words(t), None], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
+    c = Counter(w for _, s, held_out in own if not held_out for w in s)
+    n, v = sum(c.values()), len(c)
+    want = {i: (held_out, len(s), sum(c[w] > 0 for w in s), n, pytest.approx(math.fsum(math.log10((c[w] + 1) / (n + v + 1)) for w in s), rel=1e-9)) for i, s, held_out in own}
+    assert {r[0]: tuple(r)[1:6] for r in QUERIES["op9_kneser_ney"](spark, str(tmp_path)).collect()} == want
+
+
 def test_mixing(docs, none):
     rows = mix(docs).collect()
     sizes = Counter()
