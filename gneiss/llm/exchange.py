@@ -132,8 +132,8 @@ def send(block: int, hashes: np.ndarray, owners: int, keys: np.ndarray, bits: in
     return pa.table(list(map(list, zip(*rows, strict=True))) if rows else [[]] * len(fields), schema=pa.schema(fields))
 
 
-def judge(sent: DataFrame, keys: np.ndarray, rule: Callable[[list[np.ndarray]], list[list[np.ndarray]]]) -> DataFrame:
-    """What the owners say. rule(arrays) gets the sorted hashes of each block, blocks in the order of their keys, less the range's start, and returns for each block one boolean array per flag."""
+def judge(sent: DataFrame, keys: np.ndarray, rule: Callable[[list[np.ndarray]], list[list[np.ndarray]]], carried: str | None = None) -> DataFrame:
+    """What the owners say. carried: a binary column of the messages that goes back to the blocks as it is. rule(arrays) gets the sorted hashes of each block, blocks in the order of their keys, less the range's start, and returns for each block one boolean array per flag."""
 
     def decide(table: pa.Table) -> pa.Table:
         place = {int(k): i for i, k in enumerate(keys)}
@@ -142,9 +142,10 @@ def judge(sent: DataFrame, keys: np.ndarray, rule: Callable[[list[np.ndarray]],
         counts, codes = table["n"].to_pylist(), table["codes"].to_pylist()
         flags = rule([rice_decode(c, n) for c, n in zip(codes, counts, strict=True)])
         packed = [b"".join(np.packbits(f).tobytes() for f in each) for each in flags]
-        return pa.table([table["block"], table["owner"], table["n"], pa.array(packed, pa.binary())], names=["block", "owner", "n", "flags"])
+        out = pa.table([table["block"], table["owner"], table["n"], pa.array(packed, pa.binary())], names=["block", "owner", "n", "flags"])
+        return out.append_column(carried, table[carried]) if carried else out
 
-    return sent.groupBy("owner").applyInArrow(decide, JUDGED)
+    return sent.groupBy("owner").applyInArrow(decide, JUDGED + (f", {carried} binary" if carried else ""))
 
 
 def told(table: pa.Table, keys: np.ndarray, flags: int) -> list[np.ndarray]:

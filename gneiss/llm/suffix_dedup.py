@@ -5,7 +5,8 @@ stretches of text whose surroundings occur once (nothing to do), those that an e
 (removed), and the rest. For the rest each shard builds a suffix array by Larsson-Sadakane refinement, takes common
 prefixes by Kasai's rule, and so finds the distinct strings of the window's length and the earliest of its documents
 that has each. Shards are merged by binary search: an owner of a range of the strings' hashes looks each shard's sorted
-array up in the merged one, which knows the first shard of each string.
+array up in the merged one, which knows the first shard of each string. What a shard found before it asked is sent along
+and comes back with the answer, so no array is built twice.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import exchange as ex
 from gneiss.llm import textbytes as tb
-from gneiss.llm.substring_dedup import LOW, Segments, _local, _ranges, _varied, segments
+from gneiss.llm.substring_dedup import LOW, Segments, _ranges, _varied, segments
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -60,7 +62,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[:n]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int, stretch: int = 1024) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int, stretch: int = 128) -> np.ndarray:
     """Length, up to cap, that each suffix in order shares with the one before it. Kasai's rule, from one suffix of the text to the next the length falls by one at most, is followed in many stretches of the text side by side. Suffixes that tie stand in any order; where the next pair stands in the wrong one, counting starts anew."""
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
@@ -114,29 +116,31 @@ class Shard:
         self.data, self.offsets = tb.texts(self.table["text"])
         ids = self.table["id"].to_numpy()
         self.rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
-        parts = []
+
+    def cut(self) -> Segments:
+        """The texts' segments."""
+        parts, window = [], self.window
         for a, b in tb.pieces(self.offsets):
             limits = self.offsets[a : b + 1] - self.offsets[a]
             s = segments(tb.prefix(tb.byte_values(self.data[self.offsets[a] : self.offsets[b]])), limits, window, (window + 2) // 2)
             parts.append(Segments(s.key, s.doc + a, s.first + self.offsets[a], s.end + self.offsets[a]))
-        self.segments = Segments(*(np.concatenate([getattr(p, f) for p in parts]) if parts else np.empty(0, U if f == "key" else np.int64) for f in ("key", "doc", "first", "end")))
+        return Segments(*(np.concatenate([getattr(p, f) for p in parts]) if parts else np.empty(0, U if f == "key" else np.int64) for f in ("key", "doc", "first", "end")))
 
     def resolve(self, flags: pa.Table, keys: np.ndarray) -> None:
-        """Which segments an earlier document has whole, and the array of the rest's suffixes."""
-        s = self.segments
-        distinct, place, _ = _local(s.key)
+        """Runs that go as an earlier document has their segments whole or an earlier one of the shard their windows; and of the rest its stretches and its distinct windows' hashes, by the array of its suffixes."""
+        s = self.cut()
+        distinct, at, place = np.unique(s.key, return_index=True, return_inverse=True)
         known, varied = ex.told(flags, keys, 2)
+        # Texts are in order of rank, so the first place of a segment or window has its least rank.
         rank = self.rank[s.doc]
-        first = np.full(len(distinct), LAST)
-        np.minimum.at(first, place, rank)
-        self.known = known[place] | (rank > first[place])
-        rest = (varied | _varied(distinct))[place] & ~self.known
-        self.places = _ranges(s.first[rest], s.end[rest])
+        known = known[place] | (rank > rank[at][place])
+        rest = (varied | _varied(distinct))[place] & ~known
         rank = np.repeat(rank[rest], s.end[rest] - s.first[rest])
         # Segments side by side are one stretch of text.
         starts, ends = s.first[rest], s.end[rest]
         new = np.append(True, starts[1:] != ends[:-1]) if len(starts) else np.empty(0, bool)
         starts, ends = starts[new], ends[np.append(new[1:], True)] if len(new) else ends
+        self.open = starts, ends
         # Arrays of suffixes are built for parts of bounded size; their distinct strings meet in one sorted array of hashes.
         part = np.cumsum(ends - starts + self.window - 1) // PART
         cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(starts)) if len(starts) else np.zeros(1, np.int64)
@@ -145,10 +149,34 @@ class Shard:
         at = np.cumsum([0] + [len(h) for h, _ in found])
         of = np.concatenate([o + i for (_, o), i in zip(found, at, strict=False)] or [np.empty(0, np.int64)])
         self.hashes, back = np.unique(hashed, return_inverse=True)
-        self.of = back[of]
-        least = np.full(len(self.hashes), LAST)
-        np.minimum.at(least, self.of, rank)
-        self.local = rank > least[self.of]
+        of = back[of]
+        least = np.empty(len(self.hashes), np.int32)
+        least[of[::-1]] = rank[::-1]
+        single = _ranges(starts, ends)[rank > least[of]]
+        self.gone = tb.union(np.concatenate((s.first[known], single)), np.concatenate((s.end[known] + self.window - 1, single + self.window)))
+
+    def state(self) -> bytes:
+        """What resolve() found, for remember(): the places of runs and stretches."""
+        return b"".join(len(a).to_bytes(8, "little") + a.astype("<i8").tobytes() + b.astype("<i8").tobytes() for a, b in (self.gone, self.open))
+
+    def remember(self, state: bytes) -> None:
+        """The runs and stretches again, and the hash of each window of these."""
+        both, at = [], 0
+        for _ in range(2):
+            n = int.from_bytes(state[at : at + 8], "little")
+            both.append(np.frombuffer(state, "<i8", 2 * n, at + 8).reshape(2, n))
+            at += 8 + 16 * n
+        self.gone, self.open = both
+        starts, ends = self.open
+        found = [np.empty(0, U)]
+        for a, b in tb.pieces(self.offsets):
+            # No stretch crosses texts.
+            low, high = self.offsets[a], self.offsets[b]
+            i, j = np.searchsorted(starts, (low, high))
+            if i < j:
+                window = _ranges(starts[i:j], ends[i:j]) - low
+                found.append(tb.span(tb.prefix(tb.byte_values(self.data[low:high])), window, window + self.window) >> U(64 - ex.BITS))
+        self.hashes = np.concatenate(found)
 
     def strings(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each distinct window of some stretches, and each window's number among them."""
@@ -180,25 +208,33 @@ def earlier_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = rows.withColumn("block", ordered_blocks(rows.select("id"), "id")).repartition(n, "block")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        return ex.send(key[0].as_py(), np.unique(Shard(_dated(table), window).segments.key), n, keys)
+        return ex.send(key[0].as_py(), np.unique(Shard(_dated(table), window).cut().key), n, keys)
 
     def second(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
+        """The open windows' hashes; the first message carries what the block needs again, and it comes back as it is."""
+        block, none = key[0].as_py(), np.empty(0, U)
         if not table.num_rows:
-            return ex.send(key[0].as_py(), np.empty(0, U), n, keys)
+            return ex.send(block, none, n, keys).append_column("state", pa.array([], pa.binary()))
         shard = Shard(_dated(table), window)
         shard.resolve(flags, keys)
-        return ex.send(key[0].as_py(), shard.hashes, n, keys)
+        sent = ex.send(block, shard.hashes, n, keys)
+        if not sent.num_rows:
+            sent = pa.table([[block], [int(keys[0])], [0], [ex.rice_encode(none, 1)]], schema=sent.schema)
+        return sent.append_column("state", pa.array([shard.state()] + [None] * (sent.num_rows - 1), pa.binary()))
 
     def last(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([[]] * 5, schema=OUT)
         shard = Shard(_dated(table), window)
-        level = flags["level"].to_numpy()
-        shard.resolve(flags.filter(pa.array(level == 1)), keys)
-        told = ex.told(flags.filter(pa.array(level == 2)), keys, 1)[0]
-        single = shard.places[shard.local | told[shard.of]] if len(shard.of) else shard.places
-        s = shard.segments
-        gone = tb.covered(len(shard.data), np.concatenate((s.first[shard.known], single)), np.concatenate((s.end[shard.known] + window - 1, single + window)))
+        shard.remember(next(x for x in flags["state"].to_pylist() if x is not None))
+        told = ex.told(flags.filter(pc.greater(flags["n"], 0)), keys, 1)[0]
+        starts, ends = shard.gone
+        if len(shard.hashes):
+            single = _ranges(*shard.open)[told[np.unique(shard.hashes, return_inverse=True)[1]]]
+            starts, ends = tb.union(np.concatenate((starts, single)), np.concatenate((ends, single + window)))
+        gone = np.zeros(len(shard.data) + 1, np.int8)
+        gone[starts], gone[ends] = 1, -1
+        gone = np.cumsum(gone, dtype=np.int8)[:-1].view(bool)
         ids, size, removed, kept, spans = shard.table["id"].to_pylist(), [], [], [], []
         for i, (a, b) in enumerate(zip(shard.offsets[:-1], shard.offsets[1:], strict=True)):
             own = gone[a:b]
@@ -211,9 +247,9 @@ def earlier_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, OUT.field("spans").type)], schema=OUT)
 
     one = ex.judge(blocks.groupBy("block").applyInArrow(first, ex.SENT), keys, ex.segment_rule(LOW, by_order=True))
-    two = ex.judge(blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, ex.SENT), keys, ex.earlier)
-    both = one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2)))
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(last, SCHEMA).withColumnRenamed("id", id_col)
+    resolved = blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, ex.SENT + ", state binary")
+    two = ex.judge(resolved, keys, ex.earlier, carried="state")
+    return blocks.groupBy("block").cogroup(two.groupBy("block")).applyInArrow(last, SCHEMA).withColumnRenamed("id", id_col)
 
 
 OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

@@ -140,3 +140,11 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in at least one of the ranges."""
     change = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(ends, minlength=n + 1)[: n + 1]
     return np.cumsum(change)[:n] > 0
+
+
+def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges in order, those that overlap or touch as one. It takes memory by the ranges, not by the places they cover."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.append(True, starts[1:] > ends[:-1])[: len(starts)]
+    return starts[new], ends[np.append(new[1:], True)[: len(starts)]]

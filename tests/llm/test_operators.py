@@ -4,15 +4,18 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gneiss.llm import exchange as ex
-from gneiss.llm import pii
+from gneiss.llm import pii, suffix_dedup
+from gneiss.llm import textbytes as tb
 from gneiss.llm.decontaminate import contamination
 from gneiss.llm.exact_dedup import drop_exact_copies, exact_groups
 from gneiss.llm.kneser_ney import discounts, perplexity
@@ -22,7 +25,7 @@ from gneiss.llm.mixing import mix, quotas
 from gneiss.llm.pii import pseudonymised
 from gneiss.llm.queries import QUERIES
 from gneiss.llm.substring_dedup import repeated_words, repeats
-from gneiss.llm.suffix_dedup import common_prefixes, earlier_bytes, suffix_array
+from gneiss.llm.suffix_dedup import Shard, common_prefixes, earlier_bytes, suffix_array
 from gneiss.llm.toxicity import toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -139,6 +142,38 @@ def test_suffix_dedup(docs, none):
     assert earlier_bytes(none).count() == 0
 
 
+def test_suffix_dedup_builds_arrays_once(monkeypatch):
+    """What a shard found is taken from its message again, without arrays, and in memory of a few bytes a byte of text."""
+    rng = random.Random(7)
+    line = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)) for _ in range(300)]
+    texts = [" ".join(rng.choice(line) for _ in range(12)) for _ in range(1000)]
+    table = pa.table({"id": pa.array(range(1000), pa.int64()), "text": texts})
+    shard, again = Shard(table, 50), Shard(table, 50)
+    keys = ex.block_keys(1)
+    own = ex.send(int(keys[0]), np.unique(shard.cut().key), 1, keys)
+    n = own["n"].to_pylist()[0]
+    flags = pa.table([own["block"], own["owner"], own["n"], pa.array([b"\0" * (2 * ((n + 7) // 8))], pa.binary())], names=["block", "owner", "n", "flags"])
+    shard.resolve(flags, keys)
+    assert len(shard.hashes) > 1000 and len(shard.gone[0]) > 100
+    monkeypatch.setattr(suffix_dedup, "suffix_array", None)
+    tracemalloc.start()
+    again.remember(shard.state())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(shard.data)
+    assert all((x == y).all() for x, y in zip(shard.gone + shard.open, tuple(again.gone) + tuple(again.open), strict=True))
+    assert (np.unique(again.hashes) == shard.hashes).all()
+
+
+def test_union():
+    rng = np.random.default_rng(3)
+    starts = rng.integers(0, 500, 60)
+    ends = starts + rng.integers(1, 9, 60)
+    x, y = tb.union(starts, ends)
+    assert (x[1:] > y[:-1]).all() and (tb.covered(510, x, y) == tb.covered(510, starts, ends)).all()
+    assert all(len(z) == 0 for z in tb.union(np.empty(0, np.int64), np.empty(0, np.int64)))
+
+
 def test_exact_dedup(docs, none):
     groups = defaultdict(list)
     for r in corpus():
