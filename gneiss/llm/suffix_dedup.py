@@ -211,16 +211,18 @@ def earlier_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return ex.send(key[0].as_py(), np.unique(Shard(_dated(table), window).cut().key), n, keys)
 
     def second(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
-        """The open windows' hashes; the first message carries what the block needs again, and it comes back as it is."""
+        """The open windows' hashes; one message, to another owner for each block, carries what the block needs again, and it comes back as it is."""
         block, none = key[0].as_py(), np.empty(0, U)
         if not table.num_rows:
             return ex.send(block, none, n, keys).append_column("state", pa.array([], pa.binary()))
         shard = Shard(_dated(table), window)
         shard.resolve(flags, keys)
         sent = ex.send(block, shard.hashes, n, keys)
+        own = int(np.flatnonzero(keys == block)[0])
         if not sent.num_rows:
-            sent = pa.table([[block], [int(keys[0])], [0], [ex.rice_encode(none, 1)]], schema=sent.schema)
-        return sent.append_column("state", pa.array([shard.state()] + [None] * (sent.num_rows - 1), pa.binary()))
+            sent = pa.table([[block], [int(keys[own])], [0], [ex.rice_encode(none, 1)]], schema=sent.schema)
+        state = shard.state()
+        return sent.append_column("state", pa.array([state if i == own % sent.num_rows else None for i in range(sent.num_rows)], pa.binary()))
 
     def last(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
