@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.work import written
 
+#: Up to how many links one task finds the components; more are taken round by round.
+AT_ONCE = 1 << 20
+
+
+def _components_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links, by hooking the larger label's node to the smaller and jumping to the labels' labels."""
+    links = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if not links:
+        return
+    node, at = np.unique(np.hstack(links).ravel(), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(node))
+    while True:
+        left, right = label[x], label[y]
+        apart = left != right
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(left, right)[apart], np.minimum(left, right)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], names=["node", "component"])
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of edges (a, b), by alternating large-star and small-star steps, each of which links a node's neighbours to the smallest of them. The links of one node meet in a join by that node, which Spark splits where they are many; they are never held at once."""
+    """(node, component) of the nodes of edges (a, b): of few in one task, which spares the driver a job or two a round; of many by alternating large-star and small-star steps, each of which links a node's neighbours to the smallest of them. The links of one node meet in a join by that node, which Spark splits where they are many; they are never held at once."""
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    if links.count() <= AT_ONCE:
+        return links.coalesce(1).mapInArrow(_components_at_once, "node long, component long")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

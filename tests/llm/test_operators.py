@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.llm import exchange as ex
-from gneiss.llm import pii, suffix_dedup
+from gneiss.llm import components, pii, suffix_dedup
 from gneiss.llm import textbytes as tb
 from gneiss.llm.decontaminate import contamination
 from gneiss.llm.exact_dedup import drop_exact_copies, exact_groups
@@ -185,6 +185,27 @@ def test_exact_dedup(docs, none):
     assert exact_groups(none).count() == 0
 
 
+def test_components(spark, monkeypatch):
+    """A long chain, a star, a ring and random links, in one task, which takes one table, and round by round."""
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)]
+    links += [(3000 + rng.randrange(300), 3000 + rng.randrange(300)) for _ in range(150)] + [(-7, 3), (9000, 9000)]
+    links = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in links]
+    want = {x: x for link in links if link[0] != link[1] for x in link}
+    while any(want[a] != want[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name, f=components.written: tables.append(name) or f(df, name))
+    df = spark.createDataFrame(links, "a long, b long")
+    for at_once in (components.AT_ONCE, 0):
+        monkeypatch.setattr(components, "AT_ONCE", at_once)
+        assert sorted(map(tuple, components.components(df).collect())) == sorted(want.items())
+        assert not at_once or len(tables) == 1
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_near_dedup(docs, none):
     sets = defaultdict(list)
     for r in corpus():
